@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import garble_queries, look_queries, overlap_queries, spam_queries, token_queries
+from quirework.llm import garble_queries, look_queries, overlap_queries, spam_queries, term_queries, token_queries
 
-MODULES = [garble_queries, look_queries, overlap_queries, spam_queries, token_queries]
+MODULES = [garble_queries, look_queries, overlap_queries, spam_queries, term_queries, token_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

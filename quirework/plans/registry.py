@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.plans import nested_queries, text_queries
+from quirework.plans import corpus_queries, entity_queries, layout_queries, nested_queries, synthesis_queries, text_queries
 
-MODULES = [nested_queries, text_queries]
+MODULES = [nested_queries, text_queries, layout_queries, corpus_queries, entity_queries, synthesis_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return nested_queries.p1_found(spark, folder)
+    return layout_queries.flagship(spark, folder)

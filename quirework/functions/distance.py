@@ -21,7 +21,7 @@ def word_edits(a: Column, b: Column) -> Column:
     def coded(words: Column) -> Column:
         n = lambda w: F.array_position(both, w)
         bmp = lambda w: F.decode(F.unhex(F.hex(n(w) + 0x4E00 - 1)), "UTF-16BE")
-        high = lambda w: F.decode(F.unhex(F.lpad(F.hex(n(w) + 0x10000), 8, "0")), "UTF-32BE")
+        high = lambda w: F.decode(F.unhex(F.lpad(F.hex(n(w) + 0x10000), 8, "0")), "UTF-32")
         return F.array_join(F.transform(words, lambda w: F.when(n(w) < 20000, bmp(w)).otherwise(high(w))), "")
 
     return F.levenshtein(coded(a), coded(b)).cast("bigint")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.functions.edit import edits
+from quirework.functions.edit import alignment, edits
 from quirework.session import spread
 
 Bio = tuple[str, str]
@@ -75,52 +75,6 @@ def char_labels(rows: list[Bio]) -> tuple[str, list[str], Counter]:
     return "".join(text), labels, counts
 
 
-def align(a: str, b: str) -> list[tuple[int, int]]:
-    """A cheapest global alignment as pairs of places (-1: gap). Among equal ones a match is preferred to a replacement, that to a deletion, that to an insertion.
-
-    Common ends are taken off first; the rest is a table of moves within a band around the diagonal."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    band = 16
-    while True:  # only places within the band are looked at; if the result could leave it, the band is doubled
-        far = band + len(x) + len(y)
-        row = {j: j for j in range(min(len(y), band) + 1)}
-        moves: list[dict[int, int]] = []
-        for i, c in enumerate(x, 1):
-            new: dict[int, int] = {}
-            move: dict[int, int] = {}
-            for j in range(max(0, i - band), min(len(y), i + band) + 1):
-                straight = row.get(j - 1, far) + (c != y[j - 1]) if j else far
-                up, left = row.get(j, far) + 1, new.get(j - 1, far) + 1
-                best = min(straight, up, left)
-                new[j], move[j] = best, 0 if best == straight else 1 if best == up else 2
-            moves.append(move)
-            row = new
-        if row.get(len(y), far) <= band:
-            break
-        band *= 2
-    i, j = len(x), len(y)
-    back: list[tuple[int, int]] = []
-    while i or j:
-        m = 2 if not i else 1 if not j else moves[i - 1][j]
-        if m == 0:
-            i, j = i - 1, j - 1
-            back.append((head + i, head + j))
-        elif m == 1:
-            i -= 1
-            back.append((head + i, -1))
-        else:
-            j -= 1
-            back.append((-1, head + j))
-    pairs = [(k, k) for k in range(head)] + back[::-1]
-    return pairs + [(len(a) - tail + k, len(b) - tail + k) for k in range(tail)]
-
-
 def _spans(labels: list[str]) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     for i, x in enumerate(labels):
@@ -136,7 +90,7 @@ def _spans(labels: list[str]) -> list[tuple[str, int, int]]:
 def entity_scores(truth: list[Bio], pred: list[Bio], threshold: float = 0.3) -> tuple[int, int, int]:
     """Entities of the truth, of the prediction, and matched ones. An empty prediction is one word 'A' outside of entities."""
     (a, la, ca), (b, lb, cb) = char_labels(truth), char_labels(pred or [("A", "O")])
-    to = {i: j for i, j in align(a, b) if i >= 0 and j >= 0}
+    to = {i: j for i, j in alignment(a, b) if i >= 0 and j >= 0}
     used: set[int] = set()
     spans = _spans(lb)
     hits = 0

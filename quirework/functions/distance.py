@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,15 +18,22 @@ def word_edits(a: Column, b: Column) -> Column:
     """The same between two arrays of words: every distinct word of the two becomes one character.
 
     Characters are taken from U+4E00 on, past the surrogates from U+10000 on, so that 40,000 distinct words of a pair fit."""
-    both = F.array_distinct(F.concat(a, b))
 
-    def coded(words: Column) -> Column:
-        n = lambda w: F.array_position(both, w)
-        bmp = lambda w: F.decode(F.unhex(F.hex(n(w) + 0x4E00 - 1)), "UTF-16BE")
-        high = lambda w: F.decode(F.unhex(F.lpad(F.hex(n(w) + 0x10000), 8, "0")), "UTF-32")
-        return F.array_join(F.transform(words, lambda w: F.when(n(w) < 20000, bmp(w)).otherwise(high(w))), "")
+    def char(k: Column) -> Column:
+        bmp = F.decode(F.unhex(F.hex(k + 0x4E00 - 1)), "UTF-16BE")
+        high = F.decode(F.unhex(F.lpad(F.hex(k + 0x10000), 8, "0")), "UTF-32")
+        return F.when(k < 20000, bmp).otherwise(high)
+
+    def distance(x: Column) -> Column:
+        coded = lambda words: F.array_join(F.transform(F.transform(words, lambda w: F.array_position(x["both"], w)), char), "")
+        return F.levenshtein(coded(x["a"]), coded(x["b"])).cast("bigint")
+
+    return bound(F.struct(a.alias("a"), b.alias("b"), F.array_distinct(F.concat(a, b)).alias("both")), distance)
+
 
-    return F.levenshtein(coded(a), coded(b)).cast("bigint")
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once, however often it stands in the result."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def ratio(edits: Column, length: Column) -> Column:

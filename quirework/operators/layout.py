@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.functions.edit import edits
-from quirework.functions.text import ACT_PAIRS, LETTER_PAIRS, READ_PAIRS, chars
+from quirework.functions.text import ACT_PAIRS, LETTER_PAIRS, READ_PAIRS, class_of
 from quirework.session import spread
 
 
@@ -38,7 +38,9 @@ def flat_repair(s: Column, pairs: dict[str, str] = LETTER_PAIRS) -> Column:
         rest = F.coalesce(F.element_at(ends, a["open"]), F.lit(""))
         return F.struct(F.concat(a["text"], rest).alias("text"), (a["ops"] + (rest != "").cast("int")).alias("ops"))
 
-    return F.aggregate(chars(s), start, step, finish)
+    signs = class_of("".join(pairs) + "".join(pairs.values()))
+    plain = class_of("".join(pairs) + "".join(pairs.values()), negated=True)
+    return F.aggregate(F.regexp_extract_all(s, F.lit(f"({signs}|{plain}+)"), F.lit(1)), start, step, finish)  # marks one by one, what lies between as a whole
 
 
 @dataclass(frozen=True)

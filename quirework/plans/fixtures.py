@@ -91,6 +91,5 @@ def sql_class(characters: str, negated: bool = False) -> str:
 
 def sql_edits(a: str, b: str) -> str:
     """Edit distance of two lists of symbols, each symbol that both have coded as one byte (up to 125), any other of a side as one that the other side lacks."""
-    shared = f"list_distinct(list_intersect({a}, {b}))"
-    coded = lambda x, own: f"array_to_string(list_transform({x}, lambda c: CASE WHEN list_contains({shared}, c) THEN chr(CAST(list_position({shared}, c) AS INTEGER) + 2) ELSE chr({own}) END), '')"
-    return f"levenshtein({coded(a, 1)}, {coded(b, 2)})"
+    coded = lambda x, own: f"array_to_string(list_transform({x}, lambda c: CASE WHEN list_contains(p.s, c) THEN chr(CAST(list_position(p.s, c) AS INTEGER) + 2) ELSE chr({own}) END), '')"
+    return f"list_transform([{{'a': {a}, 'b': {b}, 's': list_distinct(list_intersect({a}, {b}))}}], lambda p: levenshtein({coded('p.a', 1)}, {coded('p.b', 2)}))[1]"

@@ -17,6 +17,7 @@ def local_session(cpus: str | int = "*", shuffle: int = 8, app: str = "quirework
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("QUIREWORK_DRIVER_MEMORY", "8g"))

@@ -40,3 +40,28 @@ def p1_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_pages, p1_paragraphs, p1_lines)}
+
+
+def _many(x: str, key: str) -> str:
+    """Elements under a key: of an array, or the lone one."""
+    v = f"json_extract({x}, '$.{key}')"
+    return f"CASE WHEN {v} IS NULL OR json_type({v}) = 'NULL' THEN [] WHEN json_type({v}) = 'ARRAY' THEN json_extract({v}, '$[*]') ELSE [{v}] END"
+
+
+def _each(source: str, key: str, keep: str, pos: str) -> str:
+    rest = "* EXCLUDE (x, xs)"
+    return f"SELECT * FROM (SELECT {rest}, unnest(xs) AS x, CAST(generate_subscripts(xs, 1) - 1 AS INTEGER) AS {pos} FROM (SELECT *, {_many('x', key)} AS xs FROM {source})) WHERE json_type(x) IN ({keep})"
+
+
+_OBJECT, _LINE = "'OBJECT'", "'OBJECT', 'VARCHAR'"
+SQL = {
+    "p1_found": f"""WITH j AS (
+SELECT record_id, to_json(label) AS x FROM label_records WHERE label IS NOT NULL
+UNION ALL SELECT record_id, x FROM (SELECT record_id, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS x FROM label_dumps) WHERE json_type(x) = 'OBJECT'),
+pages AS ({_each("j", "pages", _OBJECT, "page_pos")}),
+pars AS (SELECT record_id, x, page_pos, par_pos FROM ({_each("pages", "paragraphs", _OBJECT, "par_pos")}) UNION ALL SELECT record_id, x, -1, par_pos FROM ({_each("j", "paragraphs", _OBJECT, "par_pos")})),
+rows AS (SELECT record_id, page_pos, par_pos, line_pos FROM ({_each("pars", "lines", _LINE, "line_pos")}) UNION ALL SELECT record_id, -1, -1, line_pos FROM ({_each("j", "lines", _LINE, "line_pos")}))
+SELECT record_id, 'page' AS level, page_pos, -1 AS par_pos, -1 AS line_pos FROM pages
+UNION SELECT record_id, 'paragraph', page_pos, par_pos, -1 FROM pars
+UNION SELECT record_id, 'line', page_pos, par_pos, line_pos FROM rows"""
+}

@@ -1,12 +1,13 @@
 """The same or nearly the same records across splits (problem 4).
 
 Texts are compared as they print, without layout markers, case and white space. Equal texts are one class; classes of
-different sides are matched by winnowing: the minima of a rolling hash over windows are a text's anchors, a seed is the
-hash of two anchors' grams in a row, so that any common stretch of at least GRAM + 2 * WINDOW characters shares one. Seeds are
-joined across the sides at places and lengths that the tolerance allows. A seed that more than HOT train classes have
-(set phrases) is not dropped but extended to six and then twenty anchors, the last without any limit. Seeds of a pair
-on near diagonals are chained; chains are extended to an alignment of the whole texts, whose edit distance decides.
-Short texts use every gram of five characters instead, which any alignment within the tolerance shares.
+different sides are told apart by counting grams: k edits destroy at most GRAM * k of a text's grams and move none by more
+than k places, so that a pair of which more grams are missing is none. Texts are laid out in cells by bands of length, and
+within a cell every pair of lengths within the tolerance is counted: first without places, as products of matrices over hashed
+grams, then, for what is left, with places. Hashing can only hide that a gram is missing; so no pair within the tolerance is lost,
+however short, common or evenly edited its texts are. The edit distance of the whole texts, a banded alignment, decides on the rest.
+No seeds or chains are used: at one edit in ten characters a pair may share no stretch of more than nine characters, which
+set phrases share as well.
 
 Defined results: a record counts once; null splits and texts without letter or digit take no part; records of
 other splits than train, valid and test neither. A pair of equal texts is found whatever its length.
@@ -15,6 +16,7 @@ other splits than train, valid and test neither. A pair of equal texts is found
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -26,11 +28,10 @@ from pyspark.sql import functions as F
 from quirework.llm.looks import MARKERS, consistent, has_print, skeleton
 from quirework.session import staged
 
-GRAM, WINDOW, HOT = 8, 16, 40
-#: Texts up to the first length have seeds of a short text; those from the second on have anchors (in between: both).
-SHORT, LONG, SHORT_GRAM = 80, 71, 5
-#: Anchors of a seed by level.
-LEVELS = (2, 6, 20)
+#: Characters of a gram; ratio of the lengths in a band; texts of a side in a cell at least and at most; texts of train and of eval compared at once.
+GRAM, BAND, CELL, ROWS, COLUMNS = 3, 1.25, (4096, 65536), 1024, 4096
+#: Buckets of places that the most edits of a pair can move a gram by.
+REACH = 4
 
 _DROPPED = re.compile(rf"[\s{MARKERS}]+")
 
@@ -72,81 +73,123 @@ def _grams(codes: np.ndarray, k: int) -> np.ndarray:
     return _mixed(h)
 
 
-def _joined(grams: np.ndarray, n: int) -> np.ndarray:
-    """Hash of n values in a row; past the end zeros."""
-    padded = np.concatenate([grams, np.zeros(n - 1, np.uint64)])
-    h = np.full(len(grams), n, np.uint64)
-    for j in range(n):
-        h = h * np.uint64(0x100000001B3) + padded[j : j + len(grams)]
-    return _mixed(h)
+def _most(length: np.ndarray | int) -> np.ndarray | int:
+    """Edits within the tolerance, by the length of the longer text."""
+    return length // 10
 
 
-def seeds_of(norm: str) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Places of a text's seeds and their hashes by level."""
-    codes = np.frombuffer(norm.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    places, hashes = [], [[], [], []]
-    if len(codes) <= SHORT:
-        for level, size in enumerate((SHORT_GRAM, 2 * SHORT_GRAM, max(len(codes), 1))):
-            whole = np.concatenate([codes, np.zeros(size, np.uint64)])
-            hashes[level].append(_grams(whole, size)[: max(len(codes) - SHORT_GRAM + 1, 0)])
-        places.append(np.arange(max(len(codes) - SHORT_GRAM + 1, 0)))
-    if len(codes) >= LONG:
-        grams = _grams(codes, GRAM)
-        windows = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
-        at = np.unique(np.arange(len(windows)) + windows.argmin(1))
-        places.append(at)
-        for level, n in enumerate(LEVELS):
-            hashes[level].append(_joined(grams[at], n))
-    if not places:
-        return np.zeros(0, np.int64), [np.zeros(0, np.uint64)] * 3
-    return np.concatenate(places), [np.concatenate(h) for h in hashes]
-
-
-def seeds(classes: DataFrame) -> DataFrame:
-    """h1, h23, cls, meta of the seeds of (cls, norm, train, eval): the first level's hash, halves of the second's and third's, and length, place and sides in one number."""
+def _band(length: int) -> int:
+    return int(math.log(length) / math.log(BAND))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        half = np.uint64(0xFFFFFFFF)
-        for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for cls, norm, train, eval_ in zip(*(c.to_pylist() for c in batch.columns)):
-                at, (h1, h2, h3) = seeds_of(norm)
-                out[0].append(h1.view(np.int64))
-                out[1].append(((h2 & half) << np.uint64(32) | h3 & half).view(np.int64))
-                out[2].append(np.full(len(at), cls, np.int64))
-                out[3].append(len(norm) << 34 | at.astype(np.int64) << 2 | (train << 1) | int(eval_))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out], ["h1", "h23", "cls", "meta"])
 
-    return classes.select("cls", "norm", "train", "eval").mapInArrow(run, "h1 bigint, h23 bigint, cls bigint, meta bigint")
+def _shorter(length: int) -> int:
+    """No partner of a text is shorter."""
+    return length - _most(length)
+
+
+def _longer(length: int) -> int:
+    """No partner of a text is longer."""
+    return length + length // 9 + 1
+
+
+def _slots(values: np.ndarray, size: int) -> np.ndarray:
+    return (values >> np.uint64(40)) & np.uint64(size - 1)
+
 
+def _size(least: int) -> int:
+    return 1 << max(6, (least - 1).bit_length())
 
-def _sides(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n_train of the hashes that both sides have."""
-    return rows.groupBy(*keys).agg(F.sum(F.expr("shiftright(meta & 2, 1)")).alias("n_train"), F.sum(F.expr("meta & 1")).alias("n_eval")).where("n_train > 0 and n_eval > 0").drop("n_eval")
 
+def _presence(grams: list[np.ndarray], size: int) -> np.ndarray:
+    """Which hashed grams each text has."""
+    out = np.zeros((len(grams), size), np.float32)
+    for row, g in enumerate(grams):
+        out[row, _slots(g, size)] = 1
+    return out
 
-def _met(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Seeds of equal keys, one of each side, at lengths and places within the tolerance."""
-    place, length = F.expr("shiftright(meta, 2) & 4294967295").cast("int"), F.shiftright("meta", 34).cast("int")
-    a = rows.where("meta & 1 = 1").select(*keys, F.col("cls").alias("e"), place.alias("ep"), length.alias("el"))
-    b = rows.where("meta & 2 = 2").select(*keys, F.col("cls").alias("t"), place.alias("tp"), length.alias("tl"))
-    slack = F.greatest("el", "tl") / 10
-    met = a.join(b, keys).where((F.abs(F.col("el") - F.col("tl")) <= slack) & (F.abs(F.col("ep") - F.col("tp")) <= slack) & (F.col("e") != F.col("t")))
-    return met.select("e", "t", F.greatest("el", "tl").alias("len"))
+
+def _placed(grams: list[np.ndarray], width: int, size: int, reach: int) -> np.ndarray:
+    """Packed bits of the hashed grams of each text with their buckets of places; with reach 0 the bucket itself, else all up to reach away."""
+    out = np.zeros((len(grams), size // 64), np.uint64)
+    steps = (np.arange(2 * reach + 1) if reach else np.array([REACH])).astype(np.uint64)[:, None]
+    for row, g in enumerate(grams):
+        bits = np.zeros(size, bool)
+        places = (np.arange(len(g)) // width).astype(np.uint64)
+        bits[_slots(_mixed(g * np.uint64(0x9E3779B97F4A7C15) + (places + steps)), size)] = True
+        out[row] = np.packbits(bits).view(np.uint64)
+    return out
+
+
+def _possible(t: list[np.ndarray], tl: np.ndarray, e: list[np.ndarray], el: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of t and of e, given by their grams and lengths, of the pairs that may be within the tolerance."""
+    most = _most(np.maximum(tl[:, None], el[None]))
+    size = _size(2 * int(tl[-1]))
+    a, b = _presence(t, size), _presence(e, size)
+    both = a @ b.T
+    ok = (np.abs(tl[:, None] - el[None]) <= most) & (both >= a.sum(1)[:, None] - GRAM * most) & (both >= b.sum(1)[None] - GRAM * most)
+    i, j = np.nonzero(ok)
+    if not len(i):
+        return i, j
+    most = most[i, j]
+    width, size = -(-int(most.max()) // REACH) or 1, min(1 << 17, _size(32 * int(tl[-1])))
+    ui, ri = np.unique(i, return_inverse=True)
+    uj, rj = np.unique(j, return_inverse=True)
+    a, b = _placed([t[x] for x in ui], width, size, 0), ~_placed([e[x] for x in uj], width, size, REACH)
+    step = max(1, (1 << 20) // (size // 64))
+    missing = np.concatenate([np.bitwise_count(a[ri[x : x + step]] & b[rj[x : x + step]]).sum(1, dtype=np.int64) for x in range(0, len(i), step)])
+    kept = missing <= GRAM * most
+    return i[kept], j[kept]
+
+
+def _cell_pairs(cell: pa.Table) -> pa.Table:
+    """e, t of the pairs of a cell (cls, norm, train) that may be within the tolerance."""
+    norms, train = cell["norm"].to_pylist(), cell["train"].to_numpy()
+    lengths, cls = np.array([len(x) for x in norms]), cell["cls"].to_numpy()
+    order = np.argsort(lengths, kind="stable")
+    ts, es = order[train[order]], order[~train[order]]
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    grams_of = lambda rows: [_grams(np.frombuffer(norms[x].encode("utf-32-le", "replace"), np.uint32).astype(np.uint64), GRAM) for x in rows]
+    for k in range(0, len(ts), ROWS):
+        t = ts[k : k + ROWS]
+        tl, tg = lengths[t], grams_of(t)
+        first, last = np.searchsorted(lengths[es], [_shorter(int(tl[0])), _longer(int(tl[-1])) + 1])
+        for m in range(first, last, COLUMNS):
+            e = es[m : min(m + COLUMNS, last)]
+            i, j = _possible(tg, tl, grams_of(e), lengths[e])
+            found.append((cls[e[j]], cls[t[i]]))
+    e, t = (np.concatenate(x) for x in zip(*found))
+    return pa.table({"e": pa.array(e[e != t], pa.int64()), "t": pa.array(t[e != t], pa.int64())})
 
 
 def candidates(texts: DataFrame) -> DataFrame:
-    """e, t: pairs of classes (of eval and train) whose seeds make a chain: at least two (one for short texts)."""
-    rows = seeds(texts)
-    rows = staged(rows.join(_sides(rows, ["h1"]), "h1"), "seeds")  # most seeds stand on one side only and are gone here
-    parts = [_met(rows.where(F.col("n_train") <= HOT), ["h1"])]
-    rows = rows.where(F.col("n_train") > HOT).drop("n_train").withColumn("h2", F.shiftright("h23", 32))
-    rows = rows.join(_sides(rows, ["h1", "h2"]), ["h1", "h2"])
-    parts.append(_met(rows.where(F.col("n_train") <= HOT), ["h1", "h2"]))
-    parts.append(_met(rows.where(F.col("n_train") > HOT), ["h1", "h23"]))
-    met = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    chains = met.groupBy("e", "t").agg(F.count("*").alias("n"), F.max("len").alias("len"))
-    return chains.where((F.col("n") >= 2) | (F.col("len") <= SHORT)).select("e", "t")
+    """e, t: pairs of classes (of eval and train) that gram counts don't rule out, among them all within the tolerance; each once."""
+    length = F.char_length("norm")
+    texts = texts.where(length >= 9)  # shorter ones have no edit to spare
+    band = F.floor(F.log(length.cast("double")) / math.log(BAND)).cast("int")
+    sizes = texts.groupBy(band.alias("band")).agg(F.sum(F.col("train").cast("long")).alias("train"), F.sum(F.col("eval").cast("long")).alias("eval")).collect()  # a row for each band of lengths
+    block = min(CELL[1], max(CELL[0], sum(r.train + r.eval for r in sizes) // 16))
+    n_train = {r.band: -(-r.train // block) or 1 for r in sizes}
+    n_eval = {r.band: -(-r.eval // block) or 1 for r in sizes}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, cells, sides = [], [], []
+            for row, (cls, norm, train, eval_) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+                own, others = _band(len(norm)), range(_band(_shorter(len(norm))), _band(_longer(len(norm))) + 1)
+                for side, takes, mine, theirs in ((True, train, n_train, n_eval), (False, eval_, n_eval, n_train)):
+                    salt = cls % mine.get(own, 1)
+                    for other in others if takes else ():
+                        for x in range(theirs.get(other, 1)):
+                            tb, ts, eb, es = (own, salt, other, x) if side else (other, x, own, salt)
+                            cells.append(((tb << 7 | eb) << 24 | ts) << 24 | es)
+                            rows.append(row)
+                            sides.append(side)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(sides, pa.bool_())], ["cell", "cls", "norm", "train"])
+
+    laid = texts.select("cls", "norm", "train", "eval").mapInArrow(run, "cell bigint, cls bigint, norm string, train boolean")
+    laid = laid.repartition(int(laid.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell")
+    return laid.groupBy("cell").applyInArrow(_cell_pairs, "e bigint, t bigint")
 
 
 def near_classes(kept: DataFrame) -> DataFrame:

@@ -30,3 +30,20 @@ def test_variants_of_a_form(spark):
     train = [form[:k] + "xyz" + form[k:] for k in range(0, 400, 5)]
     found, true = found_and_true(spark, train, [spread(rng, form, 30), spread(rng, train[7], 36)])
     assert found == true and len(true) >= 80
+
+
+def mixed(rng, text, n):
+    """text with n edits of any kind at any place."""
+    out = list(text)
+    for _ in range(n):
+        at = rng.randrange(len(out))
+        out[at : at + 1] = rng.choice([[], [rng.choice("ijklmnop")], [out[at], rng.choice("ijklmnop")]])
+    return "".join(out)
+
+
+def test_edits_up_to_the_tolerance(spark):
+    rng = random.Random(2)
+    train = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (81, 85, 100, 119, 150, 200, 300, 600, 1100, 2500) for _ in range(6)]
+    evals = [f(rng, t, len(t) * share // 100) for t in train for f in (spread, mixed) for share in (8, 9, 10)]
+    found, true = found_and_true(spark, train, evals)
+    assert found == true and len(true) >= 0.9 * len(evals)

@@ -47,3 +47,11 @@ def test_edits_up_to_the_tolerance(spark):
     evals = [f(rng, t, len(t) * share // 100) for t in train for f in (spread, mixed) for share in (8, 9, 10)]
     found, true = found_and_true(spark, train, evals)
     assert found == true and len(true) >= 0.9 * len(evals)
+
+
+def test_short_texts_of_common_grams(spark):
+    rng = random.Random(3)
+    line = "".join(rng.choice("abcdefgh") for _ in range(30))
+    train = [line[:k] + a + line[k + 1 :] for k in range(30) for a in "xyz"]
+    found, true = found_and_true(spark, train, [spread(rng, line, 2), spread(rng, line, 3), line[:12] + line[14:], "abcdefghi"])
+    assert found == true and len(true) >= 90

@@ -3,7 +3,8 @@
 A text's words are its stretches between white space and layout markers, without ASCII punctuation around them. Words that hold
 characters beyond ASCII and that no chain of wrong decodings could have made are clean. Of every distinct clean word the
 forms that the chains turn it into are generated, with what gets lost on the way (bytes without a character left out or
-shown as '?', non-breaking spaces cut off). The words of the collection are hash-joined with these forms; a hit is a garbled word and names its original. Words that were
+shown as '?', non-breaking spaces cut off), and those of one-byte text read in another one-byte encoding, which count if
+they are rarer than their original. The words of the collection are hash-joined with these forms; a hit is a garbled word and names its original. Words that were
 not hit, as their original is nowhere clean in the collection, are taken apart: a stretch beyond ASCII is garbled if one
 chain's forms of clean characters make it up altogether. A replacement character always is a garbled stretch.
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.looks import MARKERS
+from quirework.llm.looks import MARKERS, consistent
 from quirework.session import staged
 
 #: Encodings in which UTF-8 is read by mistake, and those in which the result may be read wrong again.
@@ -98,24 +99,39 @@ def is_clean(word: str) -> bool:
     return LOST not in word and not any("\x80" <= c <= "\x9f" for c in word) and not any(inversions(r) for r in _RUN.findall(word))
 
 
+#: Encodings of which one is read as another, and letters that a word needs for that to be told from a rare character.
+ONE_BYTE, LETTERS = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "koi8-r", "cp866"), 3
+
 _SHAKY = re.compile("[\x80-\x9f\xa0\xad]")
 
 
-def forms(word: str) -> Iterator[tuple[str, bool]]:
-    """Garbled forms of a clean word and whether something was lost."""
+def forms(word: str) -> Iterator[tuple[str, bool, bool]]:
+    """Garbled forms of a clean word, whether they may be words of their own (something was lost, or one-byte text read in another one-byte encoding), and whether they are the latter."""
     seen = {word}
     for chain in CHAINS:
         made = misread(word, chain)
         if made is None or made in seen:
             continue
         seen.add(made)
-        yield made, False
+        yield made, False, False
         if len(chain) == 1 and _SHAKY.search(made):
             for to in ("", "?"):
                 less = _SHAKY.sub(to, made).strip(_AROUND)
                 if less not in seen and not less.isascii():
                     seen.add(less)
-                    yield less, True
+                    yield less, True, False
+    if sum(map(str.isalpha, word)) >= LETTERS:
+        for source in ONE_BYTE:
+            try:
+                data = bytes([_single(source)[1][c] for c in word])
+            except KeyError:
+                continue
+            for encoding in ONE_BYTE:
+                made = "".join([_single(encoding)[0][b] for b in data])
+                if made not in seen and not made.isascii():
+                    seen.add(made)
+                    if consistent(made) == made:  # else look-alike letters of another script, as in problem 2
+                        yield made, True, True
     for encoding in ("latin-1",):  # the other way round: one-byte text read as UTF-8
         try:
             made = word.encode(encoding).decode("utf-8", "replace")
@@ -123,7 +139,7 @@ def forms(word: str) -> Iterator[tuple[str, bool]]:
             continue
         if made not in seen:
             seen.add(made)
-            yield made, True
+            yield made, True, False
 
 
 def words_of(text: str) -> list[str]:
@@ -161,24 +177,24 @@ def text_words(texts: DataFrame) -> DataFrame:
 
 
 def form_table(clean: DataFrame) -> DataFrame:
-    """form, original, lost, n: one row for each garbled form of the words of (word, n), where n tells how many texts hold it."""
+    """form, original, lost, swapped, n: one row for each garbled form of the words of (word, n), where n tells how many texts hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[str, str, bool, int]] = []
+            out: list[tuple[str, str, bool, bool, int]] = []
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out += [(form, word, lost, n) for form, lost in forms(word)]
+                out += [(form, word, lost, swapped, n) for form, lost, swapped in forms(word)]
                 if len(out) > 50_000:
                     yield _rows(out)
                     out = []
             yield _rows(out)
 
     def _rows(out: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*out)) or [()] * 4
-        kinds = (pa.string(), pa.string(), pa.bool_(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["form", "original", "lost", "n"])
+        cols = list(zip(*out)) or [()] * 5
+        kinds = (pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["form", "original", "lost", "swapped", "n"])
 
-    return clean.select("word", "n").mapInArrow(run, "form string, original string, lost boolean, n bigint")
+    return clean.select("word", "n").mapInArrow(run, "form string, original string, lost boolean, swapped boolean, n bigint")
 
 
 def taken_apart(word: str, known: frozenset[str]) -> str | None:
@@ -202,8 +218,8 @@ def garbled_words(words: DataFrame) -> DataFrame:
     table = form_table(clean)
     # a form that is a clean-looking word itself counts only if it has lost something, is rarer than its original, and short of letters
     suspects = counts.select("word", F.col("n").alias("own"), "clean")
-    met = table.join(suspects, F.col("form") == F.col("word")).where("not clean or (lost and own < n)")
-    hits = met.groupBy("word").agg(F.max_by("original", F.struct("n", F.col("original"))).alias("original"))
+    met = table.join(suspects, F.col("form") == F.col("word")).where("(not clean and not swapped) or (lost and own < n)")
+    hits = met.groupBy("word").agg(F.max_by("original", F.struct(~F.col("swapped"), "n", F.col("original"))).alias("original"))
     missed = other.join(hits.select("word"), "word", "left_anti")
     # distinct characters of clean words: no more than Unicode has
     chars = clean.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).where("c > '\\u007f'").distinct()

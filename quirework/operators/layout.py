@@ -6,6 +6,7 @@ sections are one automaton, driven by a Grammar, in Arrow batches.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,28 +20,25 @@ from quirework.session import spread
 
 
 def flat_repair(s: Column, pairs: dict[str, str] = LETTER_PAIRS) -> Column:
-    """struct(text, ops): a region that is open when another begins is closed first; an end without its begin is deleted; a region open at the end is closed."""
-    ends = F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv))
-    begins, closings = [F.array(*map(F.lit, x)) for x in (pairs.keys(), pairs.values())]
-    start = F.struct(F.lit("").alias("open"), F.lit("").alias("text"), F.lit(0).alias("ops"))
+    """struct(text, ops): a region that is open when another begins is closed first; an end without its begin is deleted; a region open at the end is closed.
 
-    def step(a: Column, c: Column) -> Column:
-        is_begin, is_end = F.array_contains(begins, c), F.array_contains(closings, c)
-        wanted = F.coalesce(F.element_at(ends, a["open"]), F.lit(""))
-        late, stray = is_begin & (a["open"] != ""), is_end & (wanted != c)
-        return F.struct(
-            F.when(is_begin, c).when(is_end & ~stray, F.lit("")).otherwise(a["open"]).alias("open"),
-            F.concat(a["text"], F.when(late, F.concat(wanted, c)).when(stray, F.lit("")).otherwise(c)).alias("text"),
-            (a["ops"] + (late | stray).cast("int")).alias("ops"),
-        )
+    A begin marker settles what stands up to the next one: its first own end closes it, every other end there is stray. So the text is cut before begin markers and each piece is mended alone."""
+    begins, closings = "".join(pairs), "".join(pairs.values())
+    ends = F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv))
+    cut = f"(?s)({class_of(begins)}{class_of(begins, negated=True)}*|{class_of(begins, negated=True)}+)"
 
-    def finish(a: Column) -> Column:
-        rest = F.coalesce(F.element_at(ends, a["open"]), F.lit(""))
-        return F.struct(F.concat(a["text"], rest).alias("text"), (a["ops"] + (rest != "").cast("int")).alias("ops"))
+    def mended(x: Column) -> Column:
+        own = F.coalesce(F.try_element_at(ends, F.substring(x, 1, 1)), F.lit(""))  # empty before the first begin marker
+        at = F.when(own == "", 0).otherwise(F.position(own, x))
+        closed = at > 0
+        head = F.when(closed, F.substr(x, F.lit(1), at - 1)).otherwise(x)
+        tail = F.when(closed, F.substr(x, at + 1)).otherwise(F.lit(""))
+        text = F.concat(F.translate(head, closings, ""), own, F.translate(tail, closings, ""))
+        strays = F.char_length(x) - F.char_length(F.translate(x, closings, "")) - closed.cast("int")
+        return F.struct(text.alias("text"), (strays + ((own != "") & ~closed).cast("int")).alias("ops"))
 
-    signs = class_of("".join(pairs) + "".join(pairs.values()))
-    plain = class_of("".join(pairs) + "".join(pairs.values()), negated=True)
-    return F.aggregate(F.regexp_extract_all(s, F.lit(f"({signs}|{plain}+)"), F.lit(1)), start, step, finish)  # marks one by one, what lies between as a whole
+    made = F.transform(F.regexp_extract_all(s, F.lit(cut), F.lit(1)), mended)
+    return F.struct(F.array_join(F.transform(made, lambda m: m["text"]), "").alias("text"), F.aggregate(made, F.lit(0), lambda a, m: a + m["ops"]).alias("ops"))
 
 
 @dataclass(frozen=True)
@@ -60,6 +58,8 @@ class Grammar:
 
 READ = Grammar(tuple(READ_PAIRS.items()), "ⓟ", "ⓢ", "ⓐⓑ", "ⓝ")
 ACTS = Grammar(tuple((k, v) for k, v in ACT_PAIRS.items()), "ⓟ", "ⓜ", "ⓝⓑⓘⓢ")
+#: Letters have neither pages nor sections: all regions follow each other below the document.
+LETTERS = Grammar(tuple(LETTER_PAIRS.items()), "", "", "", "".join(LETTER_PAIRS))
 
 
 def _page_repair(text: str, page: str, end: str) -> list[tuple[str, bool]]:
@@ -189,56 +189,210 @@ def flat_graph_size(s: Column, begins: str = "".join(LETTER_PAIRS)) -> tuple[Col
     return n + 1, F.greatest(2 * n - 1, F.lit(0))
 
 
-def graph_distance(a: tuple[list[str], set[tuple[int, int]]], b: tuple[list[str], set[tuple[int, int]]], budget: int = 20_000) -> tuple[int, bool]:
-    """Unit-cost edit distance of two directed graphs with typed nodes (substituting a node of another type costs 1, edges have no type), and whether it is exact.
+Graph = tuple[list[str], set[tuple[int, int]]]
 
-    Branch and bound over the nodes in order; the bound is what the types and edges left must cost at least. Past `budget` steps the best found so far is returned as an upper bound."""
-    (ta, ea), (tb, eb) = a, b
-    n, m = len(ta), len(tb)
-    best = [n + m + len(ea) + len(eb)]
-    steps = [0]
-    by_a = [[(x, y) for x, y in ea if max(x, y) == i] for i in range(n)]
 
-    def rest(i: int, used: int) -> int:
-        from collections import Counter
+def _mapping_cost(a: Graph, b: Graph, to: list[int]) -> int:
+    """Cost of the edits that a mapping of a's nodes (-1: deleted) stands for."""
+    (ta, ea), (tb, eb) = a, b
+    mapped = sum(j >= 0 for j in to)
+    renamed = sum(j >= 0 and ta[i] != tb[j] for i, j in enumerate(to))
+    kept = sum(to[x] >= 0 and to[y] >= 0 and (to[x], to[y]) in eb for x, y in ea)
+    return len(ta) + len(tb) - 2 * mapped + renamed + len(ea) + len(eb) - 2 * kept
 
-        left, right = Counter(ta[i:]), Counter(tb[j] for j in range(m) if not used >> j & 1)
-        x, y = sum(left.values()), sum(right.values())
-        return max(x, y) - sum((left & right).values())
 
-    def go(i: int, used: int, to: list[int], cost: int, matched: int) -> None:
-        steps[0] += 1
-        if steps[0] > budget:
-            return
-        edges_left = sum(len(by_a[k]) for k in range(i, n))
-        if cost + rest(i, used) + max(0, len(eb) - matched - edges_left) >= best[0]:
-            return
-        if i == n:
-            best[0] = cost + (m - used.bit_count()) + len(eb) - matched
+def _aligned(a: Graph, b: Graph, run: int) -> list[int]:
+    """A mapping that keeps the order of the nodes: the best alignment of their types, where `run` rewards pairs that follow upon each other."""
+    ta, tb = a[0], b[0]
+    n, m = len(ta), len(tb)
+    last = [(0, False)] * (m + 1)  # gain, and whether the pair before is one
+    choice: list[list[int]] = []
+    for i in range(n):
+        row, made = [(0, False)], []
+        for j in range(m):
+            gain, follows = last[j]
+            pair = gain + (4 if ta[i] == tb[j] else 1) + (run if follows else 0)
+            best = max((pair, 2), (last[j + 1][0], 1), (row[j][0], 0))
+            made.append(best[1])
+            row.append((best[0], best[1] == 2))
+        choice.append(made)
+        last = row
+    to, i, j = [-1] * n, n - 1, m - 1
+    while i >= 0 and j >= 0:
+        move = choice[i][j]
+        if move == 2:
+            to[i] = j
+        i, j = i - (move > 0), j - (move != 1)
+    return to
+
+
+class _Search:
+    """Branch and bound over mappings of a's nodes, one after the other. What is left must cost at least what the counts of types and of edges by the types of their
+    ends demand; a renamed node can pass for another type at as many edges as it has."""
+
+    def __init__(self, a: Graph, b: Graph, best: int, budget: int) -> None:
+        (self.ta, self.ea), (self.tb, self.eb) = a, b
+        self.n, self.m, self.best, self.budget, self.steps = len(self.ta), len(self.tb), best, budget, 0
+        self.at_a = self._incident(self.ea, self.n)
+        self.at_b = self._incident(self.eb, self.m)
+        self.follow = [0] * (self.n + 1)  # most edges of a node from there on
+        for i in reversed(range(self.n)):
+            self.follow[i] = max(self.follow[i + 1], len(self.at_a[i]))
+        self.label, self.to, self.of = list(self.ta), [-2] * self.n, [-1] * self.m
+        self.types: Counter = Counter(self.ta)
+        self.types.subtract(self.tb)
+        self.kinds: Counter = Counter((self.ta[x], self.ta[y]) for x, y in self.ea)
+        self.kinds.subtract((self.tb[x], self.tb[y]) for x, y in self.eb)
+        self.live_a, self.live_b = set(self.ea), set(self.eb)
+        self.left_b, self.cost = self.m, 0
+        self.off_types, self.off_kinds = sum(map(abs, self.types.values())), sum(map(abs, self.kinds.values()))
+        self.undo: list[list] = []
+
+    @staticmethod
+    def _incident(edges: set[tuple[int, int]], n: int) -> list[list[tuple[int, int]]]:
+        out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        for x, y in edges:
+            out[x].append((x, y))
+            if y != x:
+                out[y].append((x, y))
+        return out
+
+    def _count(self, name: str, key: object, by: int) -> None:
+        c: Counter = getattr(self, name)
+        off = "off_" + name
+        setattr(self, off, getattr(self, off) - abs(c[key]) + abs(c[key] + by))
+        c[key] += by
+        self.undo[-1].append((name, key, -by))
+
+    def bound(self, i: int) -> int:
+        nodes, edges, most = abs(self.n - i - self.left_b), abs(len(self.live_a) - len(self.live_b)), 2 * self.follow[i]
+        best, s = 1 << 60, 0
+        while True:
+            d, e = self.off_types - 2 * s, self.off_kinds - most * s
+            best = min(best, s + max(nodes, d) + max(edges, e))
+            if d <= nodes and e <= edges or s >= min(self.n - i, self.left_b):
+                return best
+            s += 1
+
+    def _drop(self, side: str, edge: tuple[int, int]) -> None:
+        live, names = (self.live_a, self.label) if side == "a" else (self.live_b, self.tb)
+        live.discard(edge)
+        self._count("kinds", (names[edge[0]], names[edge[1]]), -1 if side == "a" else 1)
+        self.undo[-1].append((side, edge, 0))
+
+    def place(self, i: int, j: int) -> None:
+        """Maps node i to j (-1: deletes it)."""
+        self.undo.append([("cost", self.cost, 0)])
+        self._count("types", self.ta[i], -1)
+        self.to[i] = j
+        if j < 0:
+            gone = [e for e in self.at_a[i] if e in self.live_a]
+            self.cost += 1 + len(gone)
+            for e in gone:
+                self._drop("a", e)
             return
-        options = [j for j in range(m) if not used >> j & 1]
-        options.sort(key=lambda j: (ta[i] != tb[j], abs(i - j)))
-        for j in options:
-            more = hit = 0
-            for x, y in by_a[i]:
-                p, q = (j if x == i else to[x]), (j if y == i else to[y])
-                if p >= 0 and q >= 0 and (p, q) in eb:
-                    hit += 1
-                else:
-                    more += 1
-            go(i + 1, used | 1 << j, [*to, j], cost + (ta[i] != tb[j]) + more, matched + hit)
-        go(i + 1, used, [*to, -1], cost + 1 + len(by_a[i]), matched)
-
-    # the identity as a first solution
-    def greedy() -> int:
-        to = [i if i < m else -1 for i in range(n)]
-        cost = sum(1 if j < 0 else ta[i] != tb[j] for i, j in enumerate(to)) + max(0, m - n)
-        kept = sum(to[x] >= 0 and to[y] >= 0 and (to[x], to[y]) in eb for x, y in ea)
-        return cost + len(ea) - kept + len(eb) - kept
-
-    best[0] = min(best[0], greedy())
-    go(0, 0, [], 0, 0)
-    return best[0], steps[0] <= budget
+        self._count("types", self.tb[j], 1)
+        self.of[j], self.left_b = i, self.left_b - 1
+        self.cost += self.ta[i] != self.tb[j]
+        hits = 0
+        for x, y in self.at_a[i]:
+            if (x, y) in self.live_a and self.to[x] >= 0 and self.to[y] >= 0:
+                hit = (self.to[x], self.to[y]) in self.eb
+                hits += hit
+                self.cost += not hit
+                self._drop("a", (x, y))
+        settled = [(x, y) for x, y in self.at_b[j] if (x, y) in self.live_b and self.of[x] >= 0 and self.of[y] >= 0]
+        self.cost += len(settled) - hits
+        for e in settled:
+            self._drop("b", e)
+        if self.ta[i] != self.tb[j]:  # from now on its edges pass for those of its new type
+            mine = [e for e in self.at_a[i] if e in self.live_a]
+            for x, y in mine:
+                self._count("kinds", (self.label[x], self.label[y]), -1)
+            self.label[i] = self.tb[j]
+            for x, y in mine:
+                self._count("kinds", (self.label[x], self.label[y]), 1)
+
+    def back(self, i: int) -> None:
+        j = self.to[i]
+        for name, key, by in reversed(self.undo.pop()):
+            if name == "cost":
+                self.cost = key
+            elif name == "a":
+                self.live_a.add(key)
+            elif name == "b":
+                self.live_b.add(key)
+            else:
+                c: Counter = getattr(self, name)
+                off = "off_" + name
+                setattr(self, off, getattr(self, off) - abs(c[key]) + abs(c[key] + by))
+                c[key] += by
+        self.label[i], self.to[i] = self.ta[i], -2
+        if j >= 0:
+            self.of[j], self.left_b = -1, self.left_b + 1
+
+    def _near(self, i: int) -> list[int]:
+        """Free nodes of b that an edge of i can be kept with."""
+        out: dict[int, int] = {}
+        for x, y in self.at_a[i]:
+            other = y if x == i else x
+            p = self.to[other]
+            if other != i and p >= 0:
+                for u, v in self.at_b[p]:
+                    q = v if x == other else u
+                    if (u if x == other else v) == p and q != p and self.of[q] < 0:
+                        out[q] = out.get(q, 0) + 1
+        return sorted(out, key=lambda q: (-out[q], self.ta[i] != self.tb[q], abs(i - q)))
+
+    def _options(self, i: int) -> Iterator[int]:
+        near = self._near(i)
+        yield from near
+        known = {*near}
+        settled = sum((x, y) in self.live_a and (self.to[x] >= 0 or self.to[y] >= 0) for x, y in self.at_a[i])
+        if self.cost + settled < self.best:  # any other node loses all these edges
+            free = [j for j in range(self.m) if self.of[j] < 0 and j not in known]
+            yield from sorted(free, key=lambda j: (self.ta[i] != self.tb[j], abs(i - j)))
+        yield -1
+
+    def run(self) -> bool:
+        """Whether all that could be better than the best one has been tried."""
+        stack = [self._options(0)] if self.n else []
+        while stack:
+            i = len(stack) - 1
+            j = next(stack[-1], None)
+            if j is None:
+                stack.pop()
+                if stack:
+                    self.back(i - 1)
+                continue
+            self.steps += 1
+            if self.steps > self.budget:
+                return False
+            self.place(i, j)
+            if i + 1 == self.n:
+                self.best = min(self.best, self.cost + self.left_b + len(self.live_b))
+                self.back(i)
+            elif self.cost + self.bound(i + 1) >= self.best:
+                self.back(i)
+            else:
+                stack.append(self._options(i + 1))
+        return True
+
+
+def graph_distance(a: Graph, b: Graph, budget: int = 40_000) -> tuple[int, bool]:
+    """Unit-cost edit distance of two directed graphs with typed nodes (substituting a node of another type costs 1, edges have no type), and whether it is proven exact.
+
+    The first solutions are alignments that keep the order of the nodes; branch and bound goes on from there. Past `budget` steps the best found so far is returned as an upper bound."""
+    if not a[0] or not b[0]:
+        return len(a[0]) + len(b[0]) + len(a[1]) + len(b[1]), True
+    if len(a[0]) > len(b[0]):
+        a, b = b, a  # the distance is the same either way, and fewer nodes to map are sooner done
+    best = min(_mapping_cost(a, b, _aligned(a, b, run)) for run in (0, 1, 4))
+    search = _Search(a, b, best, budget)
+    if search.bound(0) >= best:
+        return best, True
+    exact = search.run()
+    return search.best, exact
 
 
 def graph_edits(gt: str, pred: str, grammar: Grammar, by_page: bool = True) -> tuple[int, int, bool]:

@@ -18,4 +18,4 @@ def global_rank(df: DataFrame, by: list[str], name: str = "rank") -> DataFrame:
     placed = staged(placed, "ranked")
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return placed.join(offsets, "_part").withColumn(name, (F.col("_at") + F.col("_before")).cast("int")).drop("_part", "_at", "_before")
+    return placed.join(offsets, "_part").withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")

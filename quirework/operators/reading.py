@@ -75,10 +75,15 @@ def register_groups(regions: list[Region], page_width: int) -> list[_Group]:
                 break
         else:
             groups.append(_Group(x))
+    def lone(g: _Group) -> bool:
+        return all(x["r"] < page_width / 2 and not _is_number(x["label"]) for x in g.regions)
+
+    if not any(map(lone, groups)):  # only a group without any number asks for the others to be attached
+        return groups
     heads = [g for g in groups if all(_is_number(x["label"]) for x in g.regions)]
     left = [g for g in groups if g not in heads and all(x["r"] < page_width / 2 for x in g.regions)]
     bodies = [g for g in groups if g not in heads and g not in left]
-    if left and not bodies:
+    if not bodies:
         bodies, left = left[:1], left[1:]
     for g in left:
         to = min(bodies, key=lambda h: min(abs(g.bottom - h.top), abs(g.top - h.bottom)))

@@ -80,8 +80,11 @@ def page_assembly(spark: SparkSession, d: str) -> DataFrame:
 
 def _tagged_pairs(spark: SparkSession, d: str) -> DataFrame:
     """record_id, gt and pred with signs after the words; the prediction loses every sign of a word at a place that 5 divides, and the first letter of those that 11 divides."""
-    x = _signed(spark, d).withColumn("lossy", F.when(F.col("pos") % 5 == 0, F.col("word")).when(F.col("pos") % 11 == 0, F.substring("after", 2, 10000)).otherwise(F.col("after")))
-    return _line(x, "after").withColumnRenamed("text", "gt").join(_line(x, "lossy").withColumnRenamed("text", "pred"), "record_id")
+    lossy = F.when(F.col("pos") % 5 == 0, F.col("word")).when(F.col("pos") % 11 == 0, F.expr("substring(after, 2)")).otherwise(F.col("after"))
+    rows = F.array_sort(F.collect_list(F.struct("pos", "after", lossy.alias("lossy"))))
+    x = _signed(spark, d).groupBy("record_id").agg(rows.alias("r"))
+    joined = lambda k: F.array_join(F.transform("r", lambda r: r[k]), " ")
+    return x.select("record_id", joined("after").alias("gt"), joined("lossy").alias("pred"))
 
 
 @_q()
@@ -110,12 +113,22 @@ def bio_char_labels(spark: SparkSession, d: str) -> DataFrame:
     return _tagged_pairs(spark, d).select("record_id", "gt").mapInArrow(run, "record_id bigint, n_chars bigint, n_inside bigint, n_entities bigint")
 
 
-@_q()
+def _runs(text: str, sign: str) -> str:
+    """SQL of the runs of words that all carry the sign at their end, up to a space, a line's end or a mark."""
+    return f"regexp_extract_all({text}, '((?:(?:^|[ \\n(])[^ \\n&(),/:;=?]*{sign})+)', 1)"
+
+
+_TAGS_SQL = " UNION ALL ".join(f"SELECT record_id, '{k}' AS tag, {_runs('gt', s)} AS runs FROM gts" for k, s in _SIGN.items())
+
+
+@_q(X.with_sql(f"""SELECT record_id, tag, CAST(pos AS INTEGER) AS pos, trim(translate(run, '{_SIGNS}', ''), ' (' || chr(10)) AS entity FROM (
+SELECT record_id, tag, unnest(runs) AS run, generate_subscripts(runs, 1) - 1 AS pos FROM (WITH gts AS (SELECT record_id, string_agg(word || {_SIGN_SQL}, ' ' ORDER BY pos) AS gt FROM q_words GROUP BY record_id) {_TAGS_SQL}))"""))
 def extract_entities(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of words that all carry the same sign, without it."""
-    found = F.regexp_extract_all("gt", F.lit(r"((?:(?:^|[ \n(])[^ \n&(),/:;=?]*✻)+)"), F.lit(1))
-    x = _tagged_pairs(spark, d).select("record_id", F.posexplode(found).alias("pos", "run"))
-    return x.select("record_id", "pos", F.btrim(F.translate("run", _SIGNS, ""), F.lit(" \n(")).alias("entity"))
+    """By tag, the runs of words that all carry its sign, without any sign."""
+    found = F.expr("array(" + ", ".join(f"struct('{k}' AS tag, {_runs('gt', s)} AS runs)" for k, s in _SIGN.items()) + ")")
+    x = _line(_signed(spark, d), "after").withColumnRenamed("text", "gt").select("record_id", F.explode(found).alias("f"))
+    x = x.select("record_id", "f.tag", F.posexplode("f.runs").alias("pos", "run"))
+    return x.select("record_id", "tag", "pos", F.btrim(F.translate("run", _SIGNS, ""), F.lit(" \n(")).alias("entity"))
 
 
 def _scores(spark: SparkSession, d: str, threshold: float) -> DataFrame:

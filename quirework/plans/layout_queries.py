@@ -92,12 +92,27 @@ def layout_graph(spark: SparkSession, d: str) -> DataFrame:
     return L.loer_rows(x, "record_id", L.READ).select("record_id", "size")
 
 
+#: The grammar of a data set's layout, by what its name contains; pages are told apart but in letters.
+_LAYOUTS = (("READ", L.READ, True), ("popp", L.ACTS, True), ("RIMES", L.LETTERS, False))
+
+
+def _loer_rows(spark: SparkSession, d: str) -> DataFrame:
+    """dataset, record_id, edits, size, exact of the records of all data sets that have a layout."""
+    x = X.tagged(spark, d).select("record_id", "dataset", *(T.to_single(F.col(c)).alias(c) for c in ("gt", "pred")))
+    rows = [L.loer_rows(x.where(F.lower("dataset").contains(k.lower())).select(F.struct("dataset", "record_id").alias("key"), "gt", "pred"), "key", g, by_page) for k, g, by_page in _LAYOUTS]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).select("key.dataset", "key.record_id", "edits", "size", "exact")
+
+
 @_q()
 def loer(spark: SparkSession, d: str) -> DataFrame:
-    """Layout error: graph edits over nodes and edges of the truth, by corpus; how many rows have only an upper bound is told."""
-    x = X.tagged(spark, d).where("dataset in ('READ_2016', 'exopopp')")
-    rows = [L.loer_rows(x.where(f"dataset = '{k}'"), "record_id", g, by_page).withColumn("dataset", F.lit(k)) for k, g, by_page in (("READ_2016", L.READ, True), ("exopopp", L.ACTS, False))]
-    return rows[0].unionByName(rows[1]).groupBy("dataset").agg(ratio(F.col("edits"), F.col("size")).alias("loer"), F.sum((~F.col("exact")).cast("bigint")).alias("bounded"))
+    """Layout error: graph edits over nodes and edges of the truth, by data set; how many rows have only an upper bound is told."""
+    return _loer_rows(spark, d).groupBy("dataset").agg(ratio(F.col("edits"), F.col("size")).alias("loer"), F.sum((~F.col("exact")).cast("bigint")).alias("bounded"))
+
+
+@_q()
+def loers(spark: SparkSession, d: str) -> DataFrame:
+    """Layout error of each record."""
+    return _loer_rows(spark, d).select("dataset", "record_id", F.round(F.col("edits") / F.greatest(F.col("size"), F.lit(1)), 3).alias("loer"))
 
 
 def ap_rows(spark: SparkSession, d: str) -> DataFrame:

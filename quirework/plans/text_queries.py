@@ -100,8 +100,11 @@ def text_label_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sql_repair(x: str) -> str:
-    for a, b in T.ANNOTATION_REPAIRS:
-        x = f"replace({x}, '{a}', {'chr(10)' if b == chr(10) else chr(39) + b + chr(39)})"
+    """The chain once more, written out for SQL with the places of characters, not taken from the operator's table."""
+    steps = "92+110>10 60+101+117+114+111+62>8364 62+101+117+114+111+62>8364 62+102+108+105+103+110+101+62>32 194+164>164 195+187>251 65533> 239+191+169>233 195+167>231 195+169>233 195+180>244 160>32 195+168>232 194+176>176 195+128>192 195+172>192 195+170>234 195+174>238 195+162>226 194+178>178 195+185>249 195>224 172>8364"
+    for step in steps.split(" "):
+        a, b = (" || ".join(f"chr({c})" for c in side.split("+") if c) or "''" for side in step.split(">"))
+        x = f"replace({x}, {a}, {b})"
     return x
 
 
@@ -112,11 +115,10 @@ def mojibake_fix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sql_alternatives(x: str) -> str:
-    c, e, f = "¤", "[/|]", "([^¤]*)"
     made = x
-    for rule in (f"{c}\\{{{f}{e}{f}\\}}{c}", f"{c}\\{{{f}{e}{f}{e}{f}>", f"{c}{f}{e}{f}{c}", f"{c}\\{{\\}}{c}{f}{e}([^ ]*)", f"{c}\\{{/{f}/([^ ]*)", f"{c}\\{{{f}{e}([^ ]*)", f"{f}/(.*)[{c}}}{{]+", f"[{c}}}{{]+([^{c}}}{{]*)[{c}}}{{]+", f"{c}{f}{c}"):
-        made = f"regexp_replace({made}, '(?s){rule}', '\\1', 'g')"
-    return _sql_strip(f"regexp_replace(CASE WHEN contains({x}, '{c}') THEN {made} ELSE {x} END, ' +', ' ', 'g')")
+    for spelling in T.ALTERNATIVES:
+        made = f"regexp_replace({made}, '(?s){spelling}', '\\1', 'g')"
+    return _sql_strip(f"regexp_replace(CASE WHEN contains({x}, '¤') THEN {made} ELSE {x} END, ' +', ' ', 'g')")
 
 
 @_q(X.with_sql(f"SELECT region_id, {_sql_alternatives('label')} AS text FROM q_regions WHERE label IS NOT NULL"))
@@ -186,7 +188,13 @@ def wrap_lines(spark: SparkSession, d: str) -> DataFrame:
     return X.sentences(spark, d).select("doc_id", T.wrap_lines(F.col("text"), 80).alias("lines"))
 
 
-@_q()
+_FULL_B = "length(a.line) + 1 + length(b.line) > 100"
+_WRAP_B = f"""SELECT doc_id, CASE WHEN s.line = '' THEN s.lines ELSE list_append(s.lines, trim(s.line, ' ')) END AS lines FROM (
+SELECT doc_id, list_reduce(list_prepend({{'lines': CAST([] AS VARCHAR[]), 'line': ''}}, list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), lambda w: {{'lines': CAST([] AS VARCHAR[]), 'line': w}})), lambda a, b: {{
+'lines': CASE WHEN {_FULL_B} THEN list_append(a.lines, trim(a.line, ' ')) ELSE a.lines END, 'line': CASE WHEN {_FULL_B} THEN b.line ELSE a.line || ' ' || b.line END}}) AS s FROM q_sentences)"""
+
+
+@_q(X.with_sql(_WRAP_B))
 def wrap_lines_b(spark: SparkSession, d: str) -> DataFrame:
     return X.sentences(spark, d).select("doc_id", T.wrap_lines_b(F.col("text"), 100).alias("lines"))
 
@@ -212,7 +220,7 @@ def splice_lines(spark: SparkSession, d: str) -> DataFrame:
     return X.pairs(spark, d).select("region_id", T.splice(F.col("gt"), F.col("pred")).alias("line"))
 
 
-@_q("SELECT record_id, filename, CAST(row_number() OVER (ORDER BY list_transform(regexp_extract_all(filename, '([0-9]+|[^0-9]+)'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN lpad(r, 20, '0') ELSE lower(r) END), record_id) AS INTEGER) AS rank FROM (SELECT DISTINCT record_id, filename FROM label_records)")
+@_q("SELECT record_id, filename, CAST(row_number() OVER (ORDER BY list_transform(regexp_extract_all(filename, '([0-9]+|[^0-9]+)'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN lpad(r, 40, '0') ELSE lower(r) END), record_id) AS BIGINT) AS rank FROM (SELECT DISTINCT record_id, filename FROM label_records)")
 def natural_sort(spark: SparkSession, d: str) -> DataFrame:
     """A total order over all file names is asked for, so the rank needs one sorted run; the names alone are sorted."""
     x = table(spark, d, "label_records").select("record_id", "filename").distinct()

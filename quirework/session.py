@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -26,24 +28,41 @@ def local_session(cpus: str | int = "*", shuffle: int = 8, app: str = "quirework
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session.
+    """The folder that all executors share: spark.checkpoint.dir of the session, or the checkpoint folder set on its context.
 
-    Where the setting is absent (tests, one machine) a temporary folder is set as checkpoint folder, once a session.
-    """
+    Where neither is set (tests, one machine) a temporary folder is set, once a session, and removed at the end of the process. A cluster
+    without such a setting is refused: its executors could not read what the driver's disk holds."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    context = spark.sparkContext
+    found = context._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get().rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="quirework-")
-    spark.sparkContext.setCheckpointDir(made)
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    context.setCheckpointDir(made)
     return made
 
 
+def staging_dir(spark: SparkSession) -> str:
+    """The application's own folder in the shared one; it is removed when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}"
+    if path not in _REMOVED_AT_END:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+        _REMOVED_AT_END.add(path)
+    return path
+
+
+_REMOVED_AT_END: set[str] = set()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage, survives lost executors, is read many times for one computation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{staging_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

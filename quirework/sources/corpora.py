@@ -17,7 +17,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     at = lambda i: F.try_element_at("f", F.lit(i)).try_cast("int")
     box = F.struct(at(5).alias("l"), at(6).alias("t"), (at(5) + at(7)).alias("r"), (at(6) + at(8)).alias("b"))
     name = F.col("f")[0]
-    return x.select(name.alias("line_id"), F.substring_index(name, "-", 2).alias("page_id"), box.alias("box"), tighten(F.array_join(F.slice("f", 9, 10000), " ")).alias("text"))
+    return x.select(name.alias("line_id"), F.substring_index(name, "-", 2).alias("page_id"), box.alias("box"), tighten(F.array_join(F.slice("f", 9, F.greatest(F.size("f"), F.lit(1))), " ")).alias("text"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

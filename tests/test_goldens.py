@@ -53,7 +53,14 @@ def test_text(spark):
     assert [r.n for r in names] == ["p1", "p2", "p10"]
     assert one(spark, T.canonical(s("cab"))) == one(spark, T.canonical(s("bca"))) == "abc"
     assert one(spark, T.first_alternative(s("x ¤{un/deux}¤ y"))) == "x un y"
-    assert one(spark, T.annotation_repair(s("Ã©tÃ©<euro>"))) == "été€"
+    repairs = {"Ã©tÃ©<euro>": "été€", "mÃªme": "même", "oÃ¹": "où", "Ã\x80 bientÃ´t": "À bientôt", "plaÃ®t": "plaît", "gÃ¢teau": "gâteau", "Ã§a": "ça", "voilÃ\xa0": "voilà ", "voilÃ": "voilà", "nÂ°2": "n°2", "mÂ²": "m²", "5¬": "5€", "a\\nb": "a\nb"}
+    for wrong, right in repairs.items():
+        assert one(spark, T.annotation_repair(s(wrong))) == right
+    assert one(spark, T.wrap_lines(s("aa  bbbbbb c dd"), 5)) == ["aa", "bbbbbb", "c dd"]
+    assert one(spark, T.wrap_lines_b(s("aa bb\n cc"), 5)) == ["aa", "bb cc"] and one(spark, T.wrap_lines_b(s(" "), 5)) == []
+    longest = "9" * 30
+    numbers = spark.createDataFrame([(longest,), ("1" + longest,), ("007",), ("8",)], ["n"]).orderBy(T.natural_key(F.col("n"))).collect()
+    assert [r.n for r in numbers] == ["007", "8", longest, "1" + longest]
     assert one(spark, T.end_at_dot(s("Eins. Zwei. Dr"))) == "Eins. Zwei."
     assert one(spark, T.encode(s("ba"), F.split(s("abc"), ""))) == [1, 0]
     assert one(spark, T.regions(s("ⓑaⒷxⓑbⒷ"), "ⓑ", "Ⓑ")) == ["a", "b"]
@@ -102,6 +109,45 @@ def test_graphs():
     assert L.graph_edits("", "", L.READ) == (0, 1, True)
 
 
+def _least_cost(a, b):
+    best = [10**9]
+
+    def go(i, to, used):
+        if i == len(a[0]):
+            best[0] = min(best[0], L._mapping_cost(a, b, to))
+            return
+        for j in {*range(len(b[0]))} - used:
+            go(i + 1, [*to, j], used | {j})
+        go(i + 1, [*to, -1], used)
+
+    go(0, [], set())
+    return best[0]
+
+
+def test_graph_distance_of_small_graphs():
+    rng = random.Random(3)
+
+    def graph():
+        n = rng.randint(0, 5)
+        return [rng.choice("xyz") for _ in range(n)], {(x, y) for x in range(n) for y in range(n) if x != y and rng.random() < 0.3}
+
+    for _ in range(150):
+        a, b = graph(), graph()
+        assert L.graph_distance(a, b, 10**7) == (_least_cost(a, b), True), (a, b)
+
+
+def test_graph_distance_of_long_pages():
+    """A region in the middle of a page is a node, three edges and one that bridges the gap; a renamed one costs 1."""
+    rng = random.Random(4)
+    text = "ⓟⓜ" + "".join(rng.choice("ⓝⓑⓘⓢ") for _ in range(300))
+    for k in (1, 2, 3):
+        at = range(50, 50 + 70 * k, 70)
+        less = "".join(c for i, c in enumerate(text) if i not in at)
+        assert L.graph_edits(text, less, L.ACTS)[0] == L.graph_edits(less, text, L.ACTS)[0] <= 5 * k
+    assert L.graph_edits(text, text[:99] + {"ⓝ": "ⓑ"}.get(text[99], "ⓝ") + text[100:], L.ACTS)[::2] == (1, True)
+    assert L.graph_edits(text, text, L.ACTS)[::2] == (0, True)
+
+
 def test_average_precision():
     marks = [n / 100 for n in range(5, 51, 5)]
     got = L.average_precisions(["abcd", "efgh"], ["abcd", "zzzz", "efgx"], marks)

@@ -146,6 +146,19 @@ def test_pages(spark, text, spam):
     assert (S.stuffed_pages(docs).count() == 1) == spam
 
 
+def test_hosts_decide(spark):
+    """A list of different phrases is spam where other hosts have them, too, and none where nobody else does; hosts of all pages count, also of those in prose."""
+    names = "wax seals, black ink, old letters, rare stamps, goose quills, birth records, census search, paper sheets, parish maps, family trees, vellum rolls, copper plates".split(", ")
+    page = (1, ", ".join(names), "s", "http://one.example/a")
+    prose = [(10 + k, ". ".join(f"The clerk of the parish kept it, {n}, and the deed in a box" for n in names) + ".", "s", f"http://h{k}.example/b") for k in range(3)]
+    kind = "doc_id bigint, text string, source string, url string"
+    found = lambda rows: sorted(r.doc_id for r in S.stuffed_pages(spark.createDataFrame(rows, kind)).collect())
+    assert found([page]) == []
+    assert found([page, *prose[:2]]) == [1]
+    assert found([page, *((k, t, s, "http://one.example/b") for k, t, s, _ in prose)]) == []  # one host is not enough
+    assert found([page, page, (5, None, None, None), *prose]) == [1]
+
+
 @pytest.mark.skipif(not os.path.exists(FOLDER), reason="no test tables")
 @pytest.mark.parametrize("name", ["p2_found", "p4_report", "p5_found", "p6_found", "p9_found"])
 def test_queries(spark, name):

@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm.terms import TermCounts, changes, distinct_records, marked
+from quirework.llm.terms import TermCounts, changes, marked
+from quirework.session import staged
 from quirework.sources.tables import table
 
 
-def _records(spark: SparkSession, d: str) -> DataFrame:
-    return distinct_records(table(spark, d, "label_records").select("record_id", F.col("label.text").alias("text")))
-
-
 def _entries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "label_charsets").select(F.explode("charset").alias("term")).where("term <> ''").distinct()
 
@@ -21,20 +18,24 @@ def _known(entries: DataFrame) -> tuple[str, ...]:
     return tuple(sorted(r.term for r in entries.collect()))  # label_charsets is a table of fixed size
 
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
+def _counted(spark: SparkSession, d: str) -> DataFrame:
+    """All terms with their counts, as the store has them after two steps: the records of the train split first, then what changed to the whole table."""
+    rows = table(spark, d, "label_records").select("record_id", "split", F.col("label.text").alias("text"))
     entries = _entries(spark, d)
-    counts = TermCounts(spark, entries=_known(entries)).apply(new=_records(spark, d)).counts()
-    return marked(counts, entries).where("mark is not null").select("kind", "term", "mark")
+    whole = rows.groupBy("record_id").agg(F.first("text").alias("text"), F.max(F.coalesce(F.col("split") == "train", F.lit(False))).alias("first"))
+    whole = staged(whole, "records")
+    first = whole.where("first").select("record_id", "text")
+    counts = TermCounts(spark, entries=_known(entries)).apply(new=first)
+    gone, new = changes(first, whole.select("record_id", "text"))
+    return marked(TermCounts(spark, counts.folder).apply(new=new, gone=gone).counts(), entries)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _counted(spark, d).where("mark is not null").select("kind", "term", "mark")
 
 
 def p6_counts(spark: SparkSession, d: str) -> DataFrame:
-    """All terms with their counts, reached in two steps: the records of the train split first, then what changed to the whole table."""
-    rows = table(spark, d, "label_records").select("record_id", "split", F.col("label.text").alias("text"))
-    entries = _entries(spark, d)
-    first, whole = distinct_records(rows.where("split = 'train'")), distinct_records(rows)
-    counts = TermCounts(spark, entries=_known(entries)).apply(new=first)
-    gone, new = changes(first, whole)
-    return marked(counts.apply(new=new, gone=gone).counts(), entries)
+    return _counted(spark, d)
 
 
 _COUNTS = r"""

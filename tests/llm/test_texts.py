@@ -117,6 +117,35 @@ def test_terms_by_deltas(spark):
     assert TermCounts(spark).apply(new=df({}) if False else df(old).limit(0)).counts().count() == 0
 
 
+def test_counts_are_opened_again(spark, tmp_path):
+    """Another process sees what one wrote; buckets without a changed term keep their files; late entries are counted in all records."""
+    import subprocess
+    import sys
+
+    df = lambda x: spark.createDataFrame(list(x.items()), "record_id bigint, text string")
+    where = str(tmp_path / "terms")
+    old = {i: " ".join(f"w{i}x{k}" for k in range(20)) + " all" for i in range(20)}
+    counts = TermCounts(spark, where, entries=("a",), bucket_rows=20).apply(new=df(old))
+    assert counts.manifest["of"] >= 16 and counts.manifest["rows"] == counts.counts().count() == 20 * 20 + 1 + 1 + 1
+    before = dict(counts.manifest["buckets"])
+    again = TermCounts(spark, where, bucket_rows=20).apply(new=df({99: "w1x1"}), gone=df({99: None}))
+    same = [k for k, v in again.manifest["buckets"].items() if before.get(k) == v]
+    assert len(same) >= len(before) - 2 and again.version == 2  # the bucket of the word only; the number of records is unchanged
+    assert [tuple(r) for r in again.counts().where("term in ('w1x1', 'all')").select("term", "records").orderBy("term").collect()] == [("all", 20), ("w1x1", 2)]
+    code = f"from quirework.session import local_session as s; from quirework.llm.terms import TermCounts as T; t = T(s(1), {where!r}); print('rows', t.counts().count(), t.version)"
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.getcwd(), env=os.environ | {"PYTHONPATH": os.getcwd()}).stdout
+    assert f"rows {again.counts().count()} 2" in said
+    with pytest.raises(ValueError):
+        TermCounts(spark, where, entries=("zz",))
+    more = again.add_entries(("x1", "zz"), df(old | {99: "w1x1"}))
+    assert {r.term: r.records for r in more.counts().where("kind = 'entry'").collect()} == {"a": 20, "x1": 21}
+    with pytest.raises(RuntimeError):
+        counts.apply(new=df({100: "late"}))  # it still stands at version 1
+    kept = more.counts().count()
+    more.vacuum()
+    assert more.counts().count() == kept and TermCounts(spark, where).counts().count() == kept
+
+
 LINKS = "\n".join(f"* [Old letters](https://a{i}.example/x)" for i in range(9))
 PROSE = "The clerk signed the minutes of the meeting. Adelin returned a letter without a seal before noon; the widow kept the ledger. "
 

@@ -1,25 +1,29 @@
 """Items of varying length into containers of fixed capacity, with a controlled mixture of sources (problem 8).
 
-Items are spread over shards of bounded total length by a hash of their key. In a shard every source is a queue; deficit
-round-robin fills window after window: each window grants every source its share of the window's tokens plus what it is
-still owed, and takes items from its queue while the grant lasts. What a source was given too little or too much is
-carried to the next window, and from shard to shard: a shard starts with the deficits that the totals of the shards before
-it leave. The items of a window go best-fit, longest first, into the open containers; containers stay open over windows
-until their room is too small for the shortest item left, so that little more than each shard's last containers stays unfilled.
+Every source is a queue, in an order given by hashes. Deficit round-robin fills window after window: each window grants every source its share of
+the window's tokens, plus what it is still owed or minus what it took too much. Over the whole collection this has a closed form: the tokens before an
+item in its queue are what its source has been given when its turn comes, so the item belongs to the window in which the source's grants reach
+that point. Deficits are carried by these running sums, across windows and across partitions, and no window waits for the one before. A source that
+has run dry leaves its share to the others. The running sums come from one sort by range: sums within partitions, and offsets
+from one row for each partition and source.
+
+Consecutive windows are a shard, packed by one task: the items of a window go best-fit, longest first, into the open containers;
+containers stay open over the windows of a shard until their room is too small for the shortest item, so that little more than each shard's last containers stays unfilled.
 
 Defined results: an item longer than the capacity is cut into full containers and a rest, any other is whole; items
 without tokens get a place in an open container (or a new one); null sources are a source of their own; every row of a repeated key
-is an item of its own.
+is an item of its own; sources without a wanted proportion follow after the others, in their own proportions.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections import defaultdict, deque
 from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,99 +35,121 @@ CAPACITY = 2048
 WINDOW, SHARD_TOKENS = 64, 4_000_000
 
 
-def pack_shard(items: list[tuple[int, str | None, int]], shares: dict, owed: dict, capacity: int, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
-    """items: (key, source, length); the result: (key, part, container, first token, length), containers from 0. shares: of the tokens by source; owed: deficits carried in."""
-    queues: dict = defaultdict(deque)
-    for key, source, n in sorted(items, key=lambda x: (x[1] is not None, x[1] or "", x[0], x[2])):
-        queues[source].append((key, n))
-    out: list[tuple[int, int, int, int, int]] = []
+def pack_windows(items: list[tuple[int, int, int]], capacity: int, most_open: int = 4 * WINDOW) -> list[tuple[int, int, int, int, int, int]]:
+    """items: (window, key, length); the result: (key, part, container, window, first token, length), containers from 0."""
+    out: list[tuple[int, int, int, int, int, int]] = []
     rooms: list[tuple[int, int]] = []  # (room, container) of the open ones, in order
     made = 0
-    owed = defaultdict(float, owed)
-    left = sorted(n % capacity or min(n, capacity) for _, _, n in items)
-    budget = window * capacity
-    while queues:
-        taken: list[tuple[int, int, int, int]] = []  # length, key, part, first token
-        whole = sum(shares.get(s, 0) for s in queues)  # what the emptied sources no longer need goes to the others
-        for source in sorted(queues, key=lambda s: (s is not None, s or "")):
-            grant = owed[source] + budget * (shares.get(source, 0) / whole if whole > 0 else 1 / len(queues))
-            queue = queues[source]
-            while queue and queue[0][1] <= max(grant, 0):
-                key, n = queue.popleft()
-                grant -= n
-                part = 0
-                for part in range(n // capacity if n > capacity else 0):
-                    out.append((key, part, made, part * capacity, capacity))
-                    made += 1
-                cut = n // capacity * capacity if n > capacity else 0
-                if n - cut or not n:
-                    taken.append((n - cut, key, part + (cut > 0), cut))
-            owed[source] = grant
-            if not queue:
-                del queues[source]
-        for n, key, part, first in sorted(taken, key=lambda x: (-x[0], x[1], x[2])):
+    least = min((n % capacity or min(n, capacity) for _, _, n in items), default=0)
+    for window, taken in groupby(sorted(items), key=lambda x: x[0]):
+        rest: list[tuple[int, int, int, int]] = []  # length, key, part, first token
+        for _, key, n in taken:
+            full = n // capacity if n > capacity else 0
+            for part in range(full):
+                out.append((key, part, made, window, part * capacity, capacity))
+                made += 1
+            if n > full * capacity or not n:
+                rest.append((n - full * capacity, key, full, full * capacity))
+        for n, key, part, first in sorted(rest, key=lambda x: (-x[0], x[1], x[2])):
             at = bisect_left(rooms, (n, -1))
             if at < len(rooms):
                 room, container = rooms.pop(at)
             else:
                 room, container, made = capacity, made, made + 1
-            out.append((key, part, container, first, n))
+            out.append((key, part, container, window, first, n))
             if room - n > 0:
                 insort(rooms, (room - n, container))
-        if left and len(rooms) > 4 * window:
-            del rooms[: bisect_left(rooms, (left[0], -1))]
+        if len(rooms) > most_open:
+            del rooms[: bisect_left(rooms, (least, -1))]
     return out
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_TOKENS, proportions: dict | None = None) -> DataFrame:
-    """doc_id, source, part, container, token_from, n_tokens of each part of each row of (doc_id, source, n_tokens).
+def lined_up(items: DataFrame) -> DataFrame:
+    """doc_id, no (source is null), name, n_tokens, start (tokens before it in its source's queue) and of (the source's tokens) of every row of (doc_id, source, n_tokens)."""
+    named = items.select("doc_id", F.col("source").isNull().alias("no"), F.coalesce("source", F.lit("")).alias("name"), F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"))
+    keys = ["no", "name", "turn", "doc_id", "n_tokens"]
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = named.withColumn("turn", F.xxhash64("doc_id", "n_tokens")).repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("at", F.spark_partition_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None
+        given = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            no, name, n = (batch.column(k) for k in (1, 2, 3))
+            tokens = n.to_numpy()
+            upto = np.cumsum(tokens)
+            sources = list(zip(no.to_pylist(), name.to_pylist()))
+            base = np.zeros(len(tokens), np.int64)
+            for k in [0, *(i for i in range(1, len(sources)) if sources[i] != sources[i - 1])]:
+                base[k:] = upto[k] - tokens[k] - (given if k == 0 and sources[0] == last else 0)
+            start = upto - tokens - base
+            last, given = sources[-1], int(start[-1] + tokens[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), no, name, n, batch.column(4), pa.array(start, pa.int64())], ["doc_id", "no", "name", "n_tokens", "at", "start"])
+
+    kind = items.schema["doc_id"].dataType.simpleString()
+    lined = staged(placed.select("doc_id", "no", "name", "n_tokens", "at").mapInArrow(run, f"doc_id {kind}, no boolean, name string, n_tokens bigint, at int, start bigint"), "lined")
+    sums = lined.groupBy("no", "name", "at").agg(F.sum("n_tokens").alias("n"))  # a row for each partition and one for each source, at most
+    queue = W.partitionBy("no", "name")
+    before = F.coalesce(F.sum("n").over(queue.orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select("no", "name", "at", before.alias("before"), F.sum("n").over(queue).alias("of"))
+    return lined.join(offsets, ["no", "name", "at"]).select("doc_id", "no", "name", "n_tokens", (F.col("start") + F.col("before")).alias("start"), "of")
+
+
+def _reached(lined: DataFrame, total: int, proportions: dict[str | None, float] | None) -> Column:
+    """Tokens of all sources that are given out before an item, if every source advances at its pace. total: of all sources.
+
+    With shares s and totals t, when each source has advanced to the time v, all have been given the sum of min(t, s v); an item's time is its start over its source's share."""
+    start, of = F.col("start").cast("double"), F.col("of")
+    wanted = {k: float(v) for k, v in (proportions or {}).items() if v > 0}
+    if not wanted:
+        return start * total / of
+    own = lambda k: (F.col("no") == F.lit(k is None)) & (F.col("name") == F.lit(k or ""))
+    pace = F.coalesce(*(F.when(own(k), F.lit(v / sum(wanted.values()))) for k, v in wanted.items()))
+    sources = lined.where(pace.isNotNull()).select(pace.alias("pace"), "of", "no", "name").distinct().collect()  # one row for each wanted proportion at most
+    if not sources:
+        return start * total / of
+    first = sum(r.of for r in sources)
+    terms = F.array(*(F.struct(F.lit(float(r.of)).alias("of"), F.lit(r.pace).alias("pace")) for r in sources))
+    given = F.aggregate(terms, F.lit(0.0), lambda a, k: a + F.least(k["of"], k["pace"] * start / pace))
+    return F.when(pace.isNull(), first + start * (total - first) / of).otherwise(given)
+
+
+_OUT = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("part", pa.int32()), ("container", pa.string()), ("window", pa.int64()), ("token_from", pa.int64()), ("n_tokens", pa.int64())])
+
+
+def pack(items: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_TOKENS, proportions: dict[str | None, float] | None = None, window: int = WINDOW) -> DataFrame:
+    """doc_id, source, part, container, window, token_from, n_tokens of each part of each row of (doc_id, source, n_tokens).
 
     proportions: wanted shares of the tokens by source; without it those of the whole collection, so that every window mirrors it.
-    A container's name is its shard and its number there. Two small aggregates (the total, and tokens by shard and source) precede the one shuffle of items.
-    """
-    total = items.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    shards = max(1, -(-total // shard_tokens))
-    placed = items.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    name = F.coalesce("source", F.lit(""))  # groups hold null sources under their own flag
-    by = placed.groupBy("shard", F.col("source").isNull().alias("no"), name.alias("name")).agg(F.sum("n_tokens").cast("double").alias("n"))
-    sums = by.groupBy("no", "name").agg(F.sum("n").alias("all"))
-    if proportions is not None:
-        wanted = items.sparkSession.createDataFrame([(k is None, k or "", float(v)) for k, v in proportions.items()], "no boolean, name string, share double")
-        shares = sums.join(wanted, ["no", "name"], "left").select("no", "name", F.coalesce("share", F.lit(0.0)).alias("share"))
-    else:
-        shares = sums.select("no", "name", (F.col("all") / F.lit(float(max(total, 1)))).alias("share"))
-    of_shard = by.groupBy("shard").agg(F.sum("n").alias("in_shard"))
-    grid = _grid(of_shard, shares, by)
-    before = W.partitionBy("no", "name").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    owed = grid.withColumn("owed", F.coalesce(F.sum(F.col("share") * F.col("in_shard") - F.coalesce("n", F.lit(0.0))).over(before), F.lit(0.0)))
-    plans = owed.groupBy("shard").agg(F.collect_list(F.struct("no", "name", "share", "owed")).alias("plan"))
-
-    def run(group: pa.Table, plan: pa.Table) -> pa.Table:
-        rows = list(zip(group["doc_id"].to_pylist(), group["source"].to_pylist(), group["n_tokens"].to_pylist()))
-        given = (plan["plan"].to_pylist() or [[]])[0]
-        shares = {None if p["no"] else p["name"]: p["share"] for p in given}
-        owed = {None if p["no"] else p["name"]: p["owed"] for p in given}
-        if not rows:
-            return pa.table({c: [] for c in _OUT.names}, schema=_OUT)
-        out = pack_shard(rows, shares, owed, capacity)
-        shard = group["shard"][0].as_py()
-        cols = list(zip(*out))
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array([f"{shard}-{c}" for c in cols[2]]), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], schema=_OUT)
-
-    return placed.select("shard", "doc_id", "source", F.col("n_tokens")).groupBy("shard").cogroup(plans.groupBy("shard")).applyInArrow(run, "doc_id bigint, part int, container string, token_from bigint, n_tokens bigint")
+    A container's name is its shard and its number there; a shard is a run of windows of about shard_tokens tokens."""
+    lined = lined_up(items)
+    total = lined.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]  # one number
+    budget = window * capacity
+    windows, per_shard = max(1, -(-total // budget)), max(1, shard_tokens // budget)
+    number = F.least(F.floor(_reached(lined, total, proportions) / budget), F.lit(windows - 1))
+    number = F.when(F.col("of") > 0, number).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(windows)))  # sources without any token
+    placed = lined.withColumn("window", number.cast("bigint")).withColumn("shard", F.floor(F.col("window") / per_shard))
+    placed = placed.select("shard", "window", F.col("doc_id").cast("bigint"), F.when(~F.col("no"), F.col("name")).alias("source"), "n_tokens")
 
+    def run(group: pa.Table) -> pa.Table:
+        shard = group["shard"][0].as_py()
+        sources = group["source"].to_pylist()
+        ids = group["doc_id"].to_pylist()
+        made = pack_windows(list(zip(group["window"].to_pylist(), range(len(ids)), group["n_tokens"].to_pylist())), capacity, 4 * window)
+        cols = list(zip(*made))
+        return pa.table([[ids[k] for k in cols[0]], [sources[k] for k in cols[0]], cols[1], [f"{shard}-{c}" for c in cols[2]], *cols[3:]], schema=_OUT)
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("container", pa.string()), ("token_from", pa.int64()), ("n_tokens", pa.int64())])
+    return placed.groupBy("shard").applyInArrow(run, "doc_id bigint, source string, part int, container string, window bigint, token_from bigint, n_tokens bigint")
 
 
-def _grid(of_shard: DataFrame, shares: DataFrame, by: DataFrame) -> DataFrame:
-    """Every shard with every source: both lists are short (a shard holds millions of tokens), their product is built by repeating the shards' list."""
-    listed = of_shard.groupBy(F.lit(0).alias("one")).agg(F.collect_list(F.struct("shard", "in_shard")).alias("each"))
-    rows = shares.withColumn("one", F.lit(0)).join(listed, "one").select("no", "name", "share", F.explode("each").alias("e")).select("no", "name", "share", "e.*")
-    return rows.join(by, ["shard", "no", "name"], "left")
+def mixture(packed: DataFrame) -> DataFrame:
+    """window, source, n_tokens, share of each window's tokens."""
+    x = packed.groupBy("window", "source").agg(F.sum("n_tokens").alias("n_tokens"))
+    return x.withColumn("share", F.round(F.col("n_tokens") / F.nullif(F.sum("n_tokens").over(W.partitionBy("window")), F.lit(0)), 6))
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Packs (doc_id, source, text) by token counts; the counts are written to the shared folder, as they are read three times."""
-    sizes = staged(count_tokens(docs.select("doc_id", "source", "text")), "sizes")
-    return pack(sizes, capacity)
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, proportions: dict[str | None, float] | None = None) -> DataFrame:
+    """Packs (doc_id, source, text) by token counts; the counts are written to the shared folder, as they are read twice."""
+    return pack(staged(count_tokens(docs.select("doc_id", "source", "text")), "sizes"), capacity, proportions=proportions)

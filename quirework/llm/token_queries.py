@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm.budget import token_budget
-from quirework.llm.encode import decode_ids, encode_texts
-from quirework.llm.packing import pack_documents
+from quirework.llm.encode import count_tokens, decode_ids, encode_texts
+from quirework.llm.packing import CAPACITY, mixture, pack, pack_documents
+from quirework.session import staged
 from quirework.sources.tables import table
 
 
@@ -38,5 +39,29 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_budget, p3_budget_by_dataset, p7_ids, p7_round_trip, p8_containers)}
-SQL = {"p7_round_trip": "SELECT doc_id, true AS same FROM documents"}
+#: Wanted shares of three sources, far from their own; all others follow.
+_MIXTURE = {"harvest_main": 0.5, "site_00": 0.3, "site_01": 0.2}
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens and share of each source in each window, where three sources are wanted in given proportions."""
+    return mixture(pack_documents(table(spark, d, "documents"), proportions=_MIXTURE))
+
+
+def p8_faults(spark: SparkSession, d: str) -> DataFrame:
+    """What must not be: containers over capacity, documents without a place or with tokens lost or doubled, documents cut though they fit."""
+    docs = table(spark, d, "documents")
+    sizes = staged(count_tokens(docs.select("doc_id", "source", "text")), "sizes")
+    out = staged(pack(sizes), "packed")
+    over = out.groupBy("container").agg(F.sum("n_tokens").alias("n")).where(F.col("n") > CAPACITY).agg(F.count("*").alias("overfull"))
+    of = out.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("parts"), F.max(F.col("token_from") + F.col("n_tokens")).alias("end"))
+    x = sizes.join(of, "doc_id", "left")
+    wrong = x.agg(F.count_if(F.col("n").isNull() | (F.col("n") != F.col("n_tokens")) | (F.col("end") != F.col("n_tokens"))).alias("lost"), F.count_if((F.col("parts") > 1) & (F.col("n_tokens") <= CAPACITY)).alias("cut"))
+    return over.join(F.broadcast(wrong))  # a row each
+
+
+QUERIES = {f.__name__: f for f in (p3_budget, p3_budget_by_dataset, p7_ids, p7_round_trip, p8_containers, p8_mixture, p8_faults)}
+SQL = {
+    "p7_round_trip": "SELECT doc_id, true AS same FROM documents",
+    "p8_faults": "SELECT CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS cut",
+}

@@ -9,7 +9,7 @@ import pytest
 from quirework.llm import bpe as B
 from quirework.llm.budget import language, token_budget
 from quirework.llm.encode import decode_ids, encode_texts
-from quirework.llm.packing import pack, pack_documents, pack_shard
+from quirework.llm.packing import pack, pack_documents, pack_windows
 
 FILE = os.path.join(B.TOKENIZERS, B.BYTE_BPE)
 pytestmark = pytest.mark.skipif(not os.path.exists(FILE), reason="no tokenizer files")
@@ -84,39 +84,50 @@ def test_budget(spark):
     assert [r.x for r in spark.createDataFrame([(" FR-ch ",), ("",), (None,)], "l string").select(language("l").alias("x")).collect()] == ["fr", None, None]
 
 
-def held(out, capacity):
-    rooms = Counter()
-    for _, _, c, _, n in out:
-        rooms[c] += n
-    assert max(rooms.values(), default=0) <= capacity
-    return rooms
-
-
-def test_pack_shard():
+def test_pack_windows():
     rng = random.Random(3)
-    items = [(i, rng.choice(["a", "a", "a", "b", None]), rng.choice([0, 1, 50, 300, 900, 2048, 5000])) for i in range(600)]
+    items = [(rng.randrange(9), i, rng.choice([0, 1, 50, 300, 900, 2048, 5000])) for i in range(600)]
     total = sum(n for _, _, n in items)
-    of = defaultdict(int)
-    for _, s, n in items:
-        of[s] += n
-    out = pack_shard(items, {s: n / total for s, n in of.items()}, {}, 2048, window=8)
-    rooms = held(out, 2048)
-    assert sum(rooms.values()) == total and total / (len(rooms) * 2048) > 0.97
+    out = pack_windows(items, 2048)
+    rooms = Counter()
     parts = defaultdict(list)
-    for key, part, _, first, n in out:
-        parts[key].append((part, first, n))
-    for key, _, n in items:
+    for key, part, container, window, first, n in out:
+        rooms[container] += n
+        parts[key].append((part, first, n, window))
+    assert max(rooms.values()) <= 2048 and sum(rooms.values()) == total and total / (len(rooms) * 2048) > 0.97
+    for window, key, n in items:
         rows = sorted(parts[key])
-        assert sum(x[2] for x in rows) == n and [x[0] for x in rows] == list(range(len(rows)))
+        assert sum(x[2] for x in rows) == n and [x[0] for x in rows] == list(range(len(rows))) and {x[3] for x in rows} == {window}
+        assert [x[1] for x in rows] == [sum(x[2] for x in rows[:k]) for k in range(len(rows))]
         assert len(rows) == 1 or n > 2048
-    assert pack_shard(items, {"a": 1.0}, {}, 2048) and pack_shard([], {}, {}, 2048) == []
-    # every window mirrors the mixture: after any of them no source is ahead by more than a window and an item
-    source = {k: s for k, s, _ in items}
-    taken, whole = Counter(), 0
-    for key, _, _, _, n in out:
-        taken[source[key]] += n
-        whole += n
-    assert all(abs(taken[s] - whole * of[s] / total) < 1 for s in of)
+    assert pack_windows([], 2048) == []
+
+
+@pytest.mark.parametrize("wanted", [None, {"x": 0.2, "y": 0.3, None: 0.5}, {"x": 3, "y": 1}])
+def test_mixture_of_windows(spark, wanted):
+    """After every window no source is further from its share of what was given out than its longest item, as long as no source has run dry."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["x", "x", "x", "y", None, "z"]), rng.choice([1, 40, 300, 1500, 2500])) for i in range(6000)]
+    sizes = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+    out = pack(sizes, 2048, shard_tokens=300_000, proportions=wanted, window=16).collect()
+    budget, of = 16 * 2048, Counter()
+    for _, s, n in rows:
+        of[s] += n
+    shares = {s: (wanted or of).get(s, 0) / sum((wanted or of).values()) for s in of}
+    dry = min(of[s] / v for s, v in shares.items() if v) if wanted else sum(of.values())
+    per = defaultdict(Counter)
+    for r in out:
+        per[r.window][r.source] += r.n_tokens
+    assert sorted(per) == list(range(len(per))) and len({r.container.split("-")[0] for r in out}) > 5
+    taken, windows = Counter(), 0
+    for w in sorted(per):
+        taken.update(per[w])
+        windows += 1
+        if (w + 1) * budget <= dry:
+            for s, share in shares.items():
+                assert abs(taken[s] - windows * budget * share) <= 2500, (w, s)
+                assert abs(per[w][s] - budget * share) <= 2 * 2500
+    assert windows >= 20 and sum(taken.values()) == sum(of.values())
 
 
 def test_pack(spark):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.looks import MARKERS, consistent, has_print, skeleton
+from quirework.llm.looks import MARKERS, consistent, has_print, look_table, skeleton, use
 from quirework.session import staged
 
 #: Characters of a gram; ratio of the lengths in a band; texts of a side in a cell at least and at most; texts of train and of eval compared at once.
@@ -43,8 +43,10 @@ def compared(text: str) -> str:
 
 def classes_of(records: DataFrame) -> DataFrame:
     """record_id, side ('train' or 'eval'), split, cls (of equal compared texts) and norm, for (record_id, split, text)."""
+    table = look_table(records.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use(table)
         for batch in batches:
             ids, sides, splits, keys, norms = [], [], [], [], []
             for i, s, t in zip(*(c.to_pylist() for c in batch.columns)):

@@ -117,6 +117,27 @@ def test_terms_by_deltas(spark):
     assert TermCounts(spark).apply(new=df({}) if False else df(old).limit(0)).counts().count() == 0
 
 
+def test_scripts_and_session_looks(spark):
+    assert K.confusables("日本語のテキスト ひらがなカタカナ 한국어漢字") == (0, 0)
+    assert K.confusables("pаypal") == (1, 0) and K.confusables("сор")[1] == 1
+    assert K.consistent("ab۝c\u200bd") == "ab۝cd"
+    table = K.look_table(spark)
+    K.use(table)
+    try:
+        assert [K.consistent(x) for x in ("Ꭺ", "ⲟ", "ѵ", "Ϲ", "ꓐ")] == ["A", "o", "v", "C", "B"]
+        assert K.consistent("waγ") == "way"  # a mixed token is mended by a looser look
+        assert K.consistent("γάμος") == "γάμος" and K.consistent("город") == "город" and K.consistent("Үүр") == "Үүр"
+        close = [(script, look) for _, look, script in table[0]]
+        assert len(close) == len(set(close))  # letters that a script keeps apart have looks of their own
+    finally:
+        K.use(((), ()))
+    rows = [(0, 1, "Ꭺrc"), (0, 2, "Arc"), (0, 3, "Arc"), (0, 4, "arc"), (1, 5, "Arc"), (0, 1, "Ꭺrc")]
+    df = spark.createDataFrame(rows, "owner bigint, item bigint, text string")
+    assert sorted(map(tuple, K.same_print(df).collect())) == [(0, 1, 2), (0, 1, 3)]
+    of = {(r.owner, r.item): (r.spellings, r.links) for r in K.print_classes(df).collect()}
+    assert of == {(0, 1): (2, 2), (0, 2): (2, 1), (0, 3): (2, 1), (0, 4): (1, 0), (1, 5): (1, 0)}
+
+
 def test_counts_are_opened_again(spark, tmp_path):
     """Another process sees what one wrote; buckets without a changed term keep their files; late entries are counted in all records."""
     import subprocess

@@ -40,11 +40,21 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+def _require_byte_level(path: str, whole: dict) -> None:
+    """Refuses a file whose normalization or pre-splitting isn't that of this module: texts as they are, PATTERN, bytes as letters, no word ends."""
+    model, pre = whole.get("model", {}), whole.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    if whole.get("normalizer") or not plain or model.get("type", "BPE") != "BPE" or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix") or model.get("byte_fallback"):
+        raise ValueError(f"{path} is no byte-level BPE without normalizer; its normalization and pre-splitting would not be applied")
+
+
 class Merges:
     """Vocabulary and merge list of a byte-level BPE file."""
 
     def __init__(self, path: str) -> None:
-        model = json.load(open(path, encoding="utf-8"))["model"]
+        whole = json.load(open(path, encoding="utf-8"))
+        _require_byte_level(path, whole)
+        model = whole["model"]
         letters = byte_alphabet()
         vocab: dict[str, int] = model["vocab"]
         self.bytes_of: dict[int, bytes] = {}
@@ -115,12 +125,13 @@ class PieceTransducer:
     """Bytes of one piece in, stable tokens out."""
 
     def __init__(self, merges: Merges, block: int = 256) -> None:
-        self.merges, self.block, self.held = merges, block, b""
+        self.merges, self.block, self.held, self.at = merges, block, b"", 0
 
     def push(self, data: bytes) -> Iterator[int]:
-        self.held += data
-        while len(self.held) >= self.block + self.merges.lookahead:
-            window = self.held[: self.block + self.merges.lookahead]
+        self.held = self.held[self.at :] + data if self.at else self.held + data
+        self.at = 0
+        while len(self.held) - self.at >= self.block + self.merges.lookahead:
+            window = self.held[self.at : self.at + self.block + self.merges.lookahead]
             end = 0
             for i in self.merges.merge(window):
                 n = len(self.merges.bytes_of[i])
@@ -131,11 +142,11 @@ class PieceTransducer:
             if not end:  # the first token itself is longer than the block
                 self.block *= 2
                 continue
-            self.held = self.held[end:]
+            self.at += end
 
     def finish(self) -> Iterator[int]:
-        yield from self.merges.merge(self.held)
-        self.held = b""
+        yield from self.merges.merge(self.held[self.at :])
+        self.held, self.at = b"", 0
 
 
 class _Memo(dict):

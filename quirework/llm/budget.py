@@ -1,6 +1,6 @@
 """Exact token totals per slice without encoding any text twice (problem 3).
 
-Texts are pre-split into units whose tokens do not depend on what surrounds them. Each distinct unit of the collection is
+The tokenizer's file is read for what it does to texts: byte-level files have no normalization, and one that has is refused (bpe.py). Texts are pre-split into units whose tokens do not depend on what surrounds them. Each distinct unit of the collection is
 encoded once; its length is joined with how often the units occur in each slice, which is aggregated before any shuffle.
 
 Defined results: a record counts once in a slice, also if it is delivered or sampled several times there; of a repeated
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.llm.bpe import tokenizer
+from quirework.session import staged
 
 
 def language(c: Column) -> Column:
@@ -73,7 +74,7 @@ def token_budget(records: DataFrame, samples: DataFrame, by: list[str], path: st
     texts = records.groupBy("record_id").agg(F.first("text").alias("text")).join(named, "record_id")
     slices = texts.select(F.explode("of").alias("s")).groupBy("s.slice", *(f"s.{c}" for c in by)).agg(F.count("*").alias("n_records"))
     counts = unit_counts(texts.select(F.transform("of", lambda s: s["slice"]).alias("slices"), "text"), path)
-    freq = counts.select(F.explode("slices").alias("slice"), "unit", "n").groupBy("unit", "slice").agg(F.sum("n").alias("n"))
+    freq = staged(counts.select(F.explode("slices").alias("slice"), "unit", "n").groupBy("unit", "slice").agg(F.sum("n").alias("n")), "units")
     lengths = unit_lengths(freq.select("unit").distinct(), path)
-    tokens = freq.join(lengths, "unit").groupBy("slice").agg(F.sum(F.col("n") * F.col("length")).alias("n_tokens"))
+    tokens = freq.join(staged(lengths, "lengths"), "unit").groupBy("slice").agg(F.sum(F.col("n") * F.col("length")).alias("n_tokens"))
     return slices.join(tokens, "slice", "left").select(*by, "n_records", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))

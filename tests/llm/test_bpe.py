@@ -71,6 +71,11 @@ def test_encode_rows(spark, library):
     assert encode_texts(docs.limit(0)).count() == 0
 
 
+def test_other_kinds_are_refused(tmp_path):
+    with pytest.raises(ValueError):
+        B.Tokenizer(os.path.join(B.TOKENIZERS, "word_bpe_49k.json"))
+
+
 def test_budget(spark):
     k = B.tokenizer()
     records = spark.createDataFrame([(1, "un deux  trois"), (1, "un deux  trois"), (2, None), (3, "quatre\ncinq")], "record_id bigint, text string")

@@ -235,10 +235,32 @@ def garbled_words(words: DataFrame) -> DataFrame:
     return hits.unionByName(missed.select("word").mapInArrow(run, "word string, original string"))
 
 
+#: Salts of a garbled word, as a third of all items may hold the same one.
+SALTS = 8
+
+
 def garbled(texts: DataFrame) -> DataFrame:
     """place, item_id, word, original: the garbled words of each item of (place, item_id, text)."""
-    words = text_words(texts)
-    return words.select("place", "item_id", "word").join(garbled_words(words), "word").dropDuplicates(["place", "item_id", "word"])
+    words = staged(text_words(texts), "text-words")
+    bad = garbled_words(words).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = words.select("place", "item_id", "word", F.pmod(F.xxhash64("item_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    return rows.join(bad, ["word", "salt"]).select("place", "item_id", "word", "original").dropDuplicates(["place", "item_id", "word"])
+
+
+def replaced(text: str, to: dict[str, str]) -> str:
+    """The text with whole words replaced, as words_of parts them; what stands around a word stays, and so does the same string inside another word."""
+    if not to:
+        return text
+    out = []
+    at = 0
+    for gap in _SPLIT.finditer(text + "\n"):  # the last word, too, has a gap after it
+        part, word = text[at : gap.start()], ""
+        if part and not part.isascii():
+            word = part.strip(_AROUND)
+        out.append(part.replace(word, to[word], 1) if word in to else part)
+        out.append(text[gap.start() : gap.end()])
+        at = gap.end()
+    return "".join(out)
 
 
 def restored(texts: DataFrame) -> DataFrame:
@@ -251,10 +273,7 @@ def restored(texts: DataFrame) -> DataFrame:
             out = []
             for text, swaps in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 to = {s["word"]: s["original"] for s in swaps if s["original"] is not None}
-                if to:
-                    each = re.compile("|".join(map(re.escape, sorted(to, key=len, reverse=True))))
-                    text = each.sub(lambda m: to[m.group()], text)
-                out.append((text, len(swaps), len(to) == len(swaps)))
+                out.append((replaced(text, to), len(swaps), len(to) == len(swaps)))
             cols = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.bool_())], ["place", "item_id", "text", "n_garbled", "complete"])
 

@@ -138,6 +138,12 @@ def test_scripts_and_session_looks(spark):
     assert of == {(0, 1): (2, 2), (0, 2): (2, 1), (0, 3): (2, 1), (0, 4): (1, 0), (1, 5): (1, 0)}
 
 
+def test_whole_words_are_replaced():
+    to = {"Ã©": "é", "Ã©tÃ©": "été"}
+    assert G.replaced("Ã©tÃ©, (Ã©) xÃ©x\nÃ©tÃ©", to) == "été, (é) xÃ©x\nété"
+    assert G.replaced("", to) == "" and G.replaced("plain", {}) == "plain"
+
+
 def test_counts_are_opened_again(spark, tmp_path):
     """Another process sees what one wrote; buckets without a changed term keep their files; late entries are counted in all records."""
     import subprocess

@@ -11,7 +11,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.functions.edit import alignment, edits
@@ -127,3 +127,53 @@ def corpus_scores(rows: DataFrame, by: list[str]) -> DataFrame:
     pooled: Column = 2 * F.sum("matched") / F.nullif(F.sum("support") + F.sum("predicted"), F.lit(0))
     mean = lambda c, n: F.round(F.avg(c), 6).alias(n)
     return x.groupBy(*by).agg(mean("p", "precision"), mean("r", "recall"), mean("f", "f1"), F.round(pooled, 6).alias("pooled_f1"), F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("matched").alias("matched"))
+
+
+#: What parts runs of tagged words (fixed values: the signs that a word of a run cannot hold).
+_BOUND = " \n&(),/:;=?"
+
+
+def tagged_runs(text: str, sign: str, signs: str, confidences: list[float] | None = None) -> list[str]:
+    """Runs of words that all end in the sign, without any sign; with confidences by their falling mean over the run's signs, equal ones in their order."""
+    found: list[tuple[float, str]] = []
+    for m in re.finditer(f"(?:(?:^|[ \n(])[^{re.escape(_BOUND)}]*{re.escape(sign)})+", text):
+        run = m.group()
+        own = [confidences[m.start() + k] for k, c in enumerate(run) if c == sign] if confidences is not None else [0.0]
+        found.append((-sum(own) / len(own), "".join(c for c in run if c not in signs).strip(" \n(")))
+    return [content for _, content in sorted(found, key=lambda x: x[0])]
+
+
+def entity_ap(df: DataFrame, key: str, signs: dict[str, str], thresholds: range = range(5, 51, 5)) -> DataFrame:
+    """key, tag, threshold (per cent), ap, weight (entities of the truth) of (key, gt, pred, conf), of the tags that the truth has."""
+    from quirework.operators.layout import average_precisions
+
+    kind, every = df.schema[key].dataType.simpleString(), "".join(signs.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, out = [], []
+            for row, (gt, pred, conf) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]))):
+                for tag, sign in signs.items():
+                    truths = tagged_runs(gt or "", sign, every)
+                    if truths:
+                        found = tagged_runs(pred or "", sign, every, conf or [])
+                        for n, ap in zip(thresholds, average_precisions(truths, found, [k / 100 for k in thresholds])):
+                            rows.append(row)
+                            out.append((tag, n, ap, len(truths)))
+            cols = list(zip(*out)) or [()] * 4
+            kinds = (pa.string(), pa.int32(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))], [key, "tag", "threshold", "ap", "weight"])
+
+    return spread(df.select(key, "gt", "pred", "conf")).mapInArrow(run, f"`{key}` {kind}, tag string, threshold int, ap double, weight bigint")
+
+
+def register_bio(spark: SparkSession, signs: str, name: str = "bio_words") -> None:
+    """A table function for SQL: pos, word and tag of the words of a text that carry entity signs after them."""
+
+    @F.udtf(returnType="pos int, word string, tag string")
+    class BioWords:
+        def eval(self, text: str) -> Iterator[tuple[int, str, str]]:
+            for i, (word, tag) in enumerate(bio_of(text or "", signs)):
+                yield i, word, tag
+
+    spark.udtf.register(name, BioWords)

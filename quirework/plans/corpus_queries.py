@@ -158,10 +158,15 @@ def token_lookup(spark: SparkSession, d: str) -> DataFrame:
     return X.regions(spark, d).select("region_id", begin.alias("begin_token")).join(F.broadcast(p), "begin_token").select("region_id", "begin_token", "end_token")
 
 
-@_q(X.with_sql("SELECT canonical, count(*) AS n FROM (SELECT array_to_string(list_sort(string_split(word, '')), '') AS canonical FROM q_words) GROUP BY canonical"))
+_CANON = "array_to_string(list_sort(string_split({}, '')), '')"
+
+
+@_q(X.with_sql(f"SELECT w.record_id, w.pos, w.word, t.token FROM q_words w JOIN (SELECT k, min(token) AS token FROM (SELECT {_CANON.format('word')} AS k, word AS token FROM q_words WHERE dataset = 'RIMES') GROUP BY k) t ON {_CANON.format('w.word')} = t.k"))
 def canonical_key_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Words with the same letters in any order share a key."""
-    return X.words(spark, d).select(T.canonical(F.col("word")).alias("canonical")).groupBy("canonical").agg(F.count("*").alias("n"))
+    """Words looked up by their letters in any order: the token is the first word of one corpus that has the same letters."""
+    w = X.words(spark, d).withColumn("k", T.canonical(F.col("word")))
+    tokens = w.where("dataset = 'RIMES'").groupBy("k").agg(F.min("word").alias("token"))
+    return w.join(tokens, "k").select("record_id", "pos", "word", "token")
 
 
 @_q("SELECT e.event_id, r.name FROM events e JOIN (VALUES (0, 2675, 'custom'), (2676, 5569, 'rwth'), (5570, 8963, 'acts'), (8964, 999999999, 'rest')) r(lo, hi, name) ON e.event_id BETWEEN r.lo AND r.hi")
@@ -278,11 +283,12 @@ def reduced_dims(spark: SparkSession, d: str) -> DataFrame:
     return X.regions(spark, d).where("coords is not null").select("region_id", F.expr("cast(ceil((coords.b - coords.t) / 32.0) as int)").alias("rows"), F.expr("cast(ceil((coords.r - coords.l) / 8.0) as int)").alias("cols"))
 
 
-@_q("SELECT vec_id, list_transform(range(1, 9), lambda i: CAST(embedding[((i + 1) // 2)] AS DOUBLE)) AS conf FROM embeddings")
+@_q("SELECT vec_id, flatten(list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: list_transform(range(0, (vec_id + i) % 4), lambda k: x))) AS conf FROM embeddings")
 def repeat_conf(spark: SparkSession, d: str) -> DataFrame:
-    """Each of the first four confidences twice: one for each character of its token."""
-    x = F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double"))
-    return table(spark, d, "embeddings").select("vec_id", A.repeat_each(x, F.array(*[F.lit(2)] * 4)).alias("conf"))
+    """Every confidence as often as its token has characters (none, too)."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    times = F.transform("embedding", lambda v, i: (F.col("vec_id") + i + 1) % 4)
+    return table(spark, d, "embeddings").select("vec_id", A.repeat_each(x, times).alias("conf"))
 
 
 @_q("SELECT record_id, lower(hex(encode(reverse(split_part(filename, '_', 1))))) AS id FROM (SELECT DISTINCT record_id, filename FROM label_records)")
@@ -303,20 +309,21 @@ def to_json_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.to_json(F.struct("vec_id", "label", "embedding")).alias("json"))
 
 
-@_q()
+@_q("SELECT charset_id, unnest(map_entries(map_from_entries([('dataset', dataset), ('mode', 'page'), ('version', CAST(version AS VARCHAR))]))) AS e FROM label_charsets".replace("SELECT charset_id, unnest", "SELECT charset_id, e.key AS key, e.value AS value FROM (SELECT charset_id, unnest") + ")")
 def map_merge(spark: SparkSession, d: str) -> DataFrame:
     """Settings by charset over general ones: the right side wins."""
     general = F.create_map(F.lit("version"), F.lit("0"), F.lit("mode"), F.lit("page"))
     own = F.create_map(F.lit("version"), F.col("version").cast("string"), F.lit("dataset"), F.col("dataset"))
     kept = F.map_filter(general, lambda k, v: ~F.map_contains_key(own, k))
-    return table(spark, d, "label_charsets").select("charset_id", F.to_json(F.map_concat(kept, own)).alias("settings"))
+    return table(spark, d, "label_charsets").select("charset_id", F.explode(F.map_concat(kept, own)).alias("key", "value"))
 
 
-@_q(X.with_sql("SELECT region_id, min(x) AS l, min(y) AS t, max(x) AS r, max(y) AS b FROM (SELECT region_id, unnest([coords.l, coords.r, coords.r]) AS x, unnest([coords.t, coords.t, coords.b]) AS y FROM q_regions WHERE coords.l IS NOT NULL AND coords.t IS NOT NULL AND coords.r IS NOT NULL AND coords.b IS NOT NULL) GROUP BY region_id"))
+@_q(X.with_sql("SELECT region_id, min(x) AS l, min(y) AS t, max(x) AS r, max(y) AS b FROM (SELECT region_id, coords.l + (region_id * 31 + k * 17) % (coords.r - coords.l + 1) AS x, coords.t + (region_id * 13 + k * 29) % (coords.b - coords.t + 1) AS y FROM q_regions, range(0, 6) t(k) WHERE coords.r >= coords.l AND coords.b >= coords.t) GROUP BY region_id"))
 def polygon_bbox(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes of polygons written as 'x,y x,y ...'."""
-    pts = F.expr("concat(coords.l, ',', coords.t, ' ', coords.r, ',', coords.t, ' ', coords.r, ',', coords.b)")
-    return X.regions(spark, d).select("region_id", pts.alias("points")).where("points is not null").select("region_id", A.box_of(F.col("points")).alias("x")).select("region_id", "x.*")
+    """Boxes of polygons of six points written as 'x,y x,y ...', each somewhere in its region's box."""
+    at = "transform(sequence(0, 5), k -> concat(coords.l + (region_id * 31 + k * 17) % (coords.r - coords.l + 1), ',', coords.t + (region_id * 13 + k * 29) % (coords.b - coords.t + 1)))"
+    x = X.regions(spark, d).where("coords.r >= coords.l and coords.b >= coords.t").select("region_id", F.array_join(F.expr(at), " ").alias("points"))
+    return x.select("region_id", A.box_of(F.col("points")).alias("x")).select("region_id", *(F.col(f"x.{k}").cast("bigint").alias(k) for k in "ltrb"))
 
 
 @_q("SELECT p AS pos, i AS dim, round(CASE WHEN i % 2 = 0 THEN sin(p / pow(10000.0, i / 64.0)) ELSE cos(p / pow(10000.0, (i - 1) / 64.0)) END, 6) AS v FROM range(0, 100) a(p), range(0, 64) b(i)")

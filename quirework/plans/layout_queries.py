@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quirework.functions import text as T
 from quirework.functions.distance import char_edits, ratio
+from quirework.operators import evaluation as V
 from quirework.operators import layout as L
 from quirework.plans import fixtures as X
 from quirework.plans.base import Book
@@ -85,22 +86,26 @@ def layout_graph_flat(spark: SparkSession, d: str) -> DataFrame:
     return X.tagged(spark, d).select("record_id", nodes.cast("int").alias("nodes"), edges.cast("int").alias("edges"))
 
 
-@_q()
+# nodes: the document and every marker; edges: one to the parent, and one to each elder sibling: of the same kind of level since the last marker of a higher one
+_LEVEL = "CASE c WHEN 'ⓟ' THEN 1 WHEN 'ⓢ' THEN 2 WHEN 'ⓝ' THEN 2 WHEN 'ⓐ' THEN 3 WHEN 'ⓑ' THEN 3 END"
+_GRAPH_SQL = f"""WITH m AS (SELECT record_id, i, lv FROM (SELECT record_id, i, {_LEVEL} AS lv FROM (SELECT record_id, unnest(string_split(gt, '')) AS c, generate_subscripts(string_split(gt, ''), 1) AS i FROM q_tagged WHERE gt <> '')) WHERE lv IS NOT NULL),
+s AS (SELECT record_id, i, lv, sum(CASE WHEN lv = 1 THEN 1 ELSE 0 END) OVER w AS p, sum(CASE WHEN lv <= 2 THEN 1 ELSE 0 END) OVER w AS q FROM m WINDOW w AS (PARTITION BY record_id ORDER BY i)),
+e AS (SELECT record_id, lv, count(*) OVER (PARTITION BY record_id, lv, CASE WHEN lv = 1 THEN 0 WHEN lv = 2 THEN p ELSE q END ORDER BY i) > 1 AS elder FROM s)
+SELECT t.record_id, CAST(1 + coalesce(k.size, 0) AS BIGINT) AS size FROM q_tagged t LEFT JOIN (SELECT record_id, 2 * count(*) + count_if(elder) AS size FROM e GROUP BY record_id) k USING (record_id)"""
+
+
+@_q(X.with_sql("SELECT * FROM (" + _GRAPH_SQL + ")"))
 def layout_graph(spark: SparkSession, d: str) -> DataFrame:
     """Size of each record's graph under the tree grammar."""
     x = X.tagged(spark, d).select("record_id", "gt", F.lit("").alias("pred"))
     return L.loer_rows(x, "record_id", L.READ).select("record_id", "size")
 
 
-#: The grammar of a data set's layout, by what its name contains; pages are told apart but in letters.
-_LAYOUTS = (("READ", L.READ, True), ("popp", L.ACTS, True), ("RIMES", L.LETTERS, False))
-
-
 def _loer_rows(spark: SparkSession, d: str) -> DataFrame:
-    """dataset, record_id, edits, size, exact of the records of all data sets that have a layout."""
-    x = X.tagged(spark, d).select("record_id", "dataset", *(T.to_single(F.col(c)).alias(c) for c in ("gt", "pred")))
-    rows = [L.loer_rows(x.where(F.lower("dataset").contains(k.lower())).select(F.struct("dataset", "record_id").alias("key"), "gt", "pred"), "key", g, by_page) for k, g, by_page in _LAYOUTS]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2]).select("key.dataset", "key.record_id", "edits", "size", "exact")
+    """dataset, name, edits, size, exact of the records of all data sets that have a layout, predictions repaired first."""
+    x = X.tagged(spark, d).select("dataset", F.col("record_id").cast("string").alias("name"), "gt", "pred", F.array().cast("array<double>").alias("conf"))
+    rows = V.layout_rows(x).where("metric in ('loer', 'bounded')").groupBy("dataset", "name")
+    return rows.agg(F.sum(F.when(F.col("metric") == "loer", F.col("part"))).alias("edits"), F.sum(F.when(F.col("metric") == "loer", F.col("whole"))).alias("size"), (F.sum(F.when(F.col("metric") == "bounded", F.col("part"))) == 0).alias("exact"))
 
 
 @_q()
@@ -112,7 +117,7 @@ def loer(spark: SparkSession, d: str) -> DataFrame:
 @_q()
 def loers(spark: SparkSession, d: str) -> DataFrame:
     """Layout error of each record."""
-    return _loer_rows(spark, d).select("dataset", "record_id", F.round(F.col("edits") / F.greatest(F.col("size"), F.lit(1)), 3).alias("loer"))
+    return _loer_rows(spark, d).select("dataset", F.col("name").cast("bigint").alias("record_id"), F.round(F.col("edits") / F.greatest(F.col("size"), F.lit(1.0)), 3).alias("loer"))
 
 
 def ap_rows(spark: SparkSession, d: str) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.plans import corpus_queries, entity_queries, layout_queries, nested_queries, synthesis_queries, text_queries
+from quirework.plans import corpus_queries, entity_queries, evaluation_queries, layout_queries, nested_queries, synthesis_queries, text_queries
 
-MODULES = [nested_queries, text_queries, layout_queries, corpus_queries, entity_queries, synthesis_queries]
+MODULES = [nested_queries, text_queries, layout_queries, corpus_queries, entity_queries, synthesis_queries, evaluation_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -15,7 +15,7 @@ from quirework.operators.ordering import global_rank
 from quirework.plans import fixtures as X
 from quirework.plans.base import Book
 from quirework.plans.text_queries import _sql_wrap
-from quirework.session import shared_dir
+from quirework.session import staging_dir
 from quirework.sources import corpora as C
 from quirework.sources.tables import table
 from quirework.streaming import metrics as M
@@ -118,9 +118,11 @@ def synth_pages(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", number.alias("number"), boxes.alias("lines"), (width * 12 + 120).alias("page_width"), body.alias("raw"), sem.alias("sem"))
 
 
-@_q("SELECT event_id, strftime(ts, '%d %B %Y') AS text FROM events")
+@_q("SELECT event_id, CASE event_id % 2 WHEN 0 THEN '' ELSE 'le ' END || CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%d %B') ELSE strftime(ts, '%d %B %Y') END AS text FROM events")
 def date_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.date_format("ts", "dd MMMM yyyy").alias("text"))
+    """Dates with or without the year, with or without an article."""
+    day = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "dd MMMM")).otherwise(F.date_format("ts", "dd MMMM yyyy"))
+    return table(spark, d, "events").select("event_id", F.concat(F.when(F.col("event_id") % 2 == 0, "").otherwise("le "), day).alias("text"))
 
 
 @_q("SELECT vec_id, label, CASE label % 4 WHEN 0 THEN 10 WHEN 1 THEN 20 WHEN 2 THEN 30 ELSE -1 END AS id FROM embeddings")
@@ -159,8 +161,14 @@ def _sql_corpus(x: str) -> str:
     return x
 
 
-@_q(f"SELECT doc_id, coalesce(source, 'none') AS source, {_sql_corpus('text')} AS text FROM documents WHERE text IS NOT NULL AND source IN ('harvest_main', 'site_01')")
+@_q(f"SELECT doc_id, coalesce(source, 'none') AS source, {_sql_corpus('text')} AS text FROM documents WHERE text IS NOT NULL")
 def corpus_scan(spark: SparkSession, d: str) -> DataFrame:
+    return C.corpus(table(spark, d, "documents"))
+
+
+@_q(f"SELECT doc_id, source, {_sql_corpus('text')} AS text FROM documents WHERE text IS NOT NULL AND source IN ('harvest_main', 'site_01')")
+def corpus_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Only some sources: the choice is the feature."""
     return C.corpus(table(spark, d, "documents"), ["harvest_main", "site_01"])
 
 
@@ -190,12 +198,12 @@ def ner_lines_parse(spark: SparkSession, d: str) -> DataFrame:
 @_q(X.with_sql("SELECT record_id, coalesce(split, '__HIVE_DEFAULT_PARTITION__') AS split, text FROM q_records WHERE text IS NOT NULL").replace("coalesce(split, '__HIVE_DEFAULT_PARTITION__')", "split"))
 def label_sink_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Labels written as JSON by split and read back."""
-    path = f"{shared_dir(spark)}/labels-{uuid.uuid4().hex}"
+    path = f"{staging_dir(spark)}/labels-{uuid.uuid4().hex}"
     C.write_labels(X.records(spark, d).where("text is not null").select("record_id", "split", "text"), path)
     return spark.read.schema("record_id bigint, text string, split string").json(path).select("record_id", "split", "text")
 
 
-@_q(X.with_sql("SELECT CAST(scan_id AS VARCHAR) AS source, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY pos, region_id) - 1 AS INTEGER) AS pos, coalesce(region_type, 'none') AS type, coords.l AS l, coords.t AS t, coords.r AS r, coords.b AS b FROM q_regions WHERE label IS NOT NULL AND coords.l IS NOT NULL AND coords.t IS NOT NULL AND coords.r IS NOT NULL AND coords.b IS NOT NULL AND scan_id IS NOT NULL"))
+@_q(X.with_sql("SELECT CAST(scan_id AS VARCHAR) AS source, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY pos, region_id) - 1 AS INTEGER) AS pos, coalesce(region_type, 'none') AS type, replace(replace(regexp_replace(label, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g'), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text, coords.l AS l, coords.t AS t, coords.r AS r, coords.b AS b FROM q_regions WHERE label IS NOT NULL AND coords.l IS NOT NULL AND coords.t IS NOT NULL AND coords.r IS NOT NULL AND coords.b IS NOT NULL AND scan_id IS NOT NULL"))
 def xml_like_scan(spark: SparkSession, d: str) -> DataFrame:
     """Regions of each scan as an XML letter, read again by the XML parser."""
     safe = lambda c: F.replace(F.replace(F.replace(F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", ""), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
@@ -203,7 +211,7 @@ def xml_like_scan(spark: SparkSession, d: str) -> DataFrame:
     x = X.regions(spark, d).where("label is not null and scan_id is not null and coords.l is not null and coords.t is not null and coords.r is not null and coords.b is not null").select("scan_id", "pos", "region_id", box.alias("box"))
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "region_id", "box"))), lambda r: r["box"]), "")
     pages = x.groupBy("scan_id").agg(F.concat(F.lit("<letter><source>"), F.col("scan_id").cast("string"), F.lit("</source>"), rows, F.lit("</letter>")).alias("value"))
-    return C.parse_letters(pages.select("value")).drop("text")
+    return C.parse_letters(pages.select("value"))
 
 
 # ---- streams
@@ -221,6 +229,11 @@ def ext_tumbling(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n")
 
 
-@_q()
+_GAP = "SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTES THEN 1 ELSE 0 END AS new FROM events WHERE ts IS NOT NULL"
+
+
+@_q(f'SELECT user_id, min(ts) AS begin, max(ts) + INTERVAL 30 MINUTES AS "end", count(*) AS n FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM ({_GAP})) GROUP BY user_id, s')
 def ext_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return M.sessions(table(spark, d, "events"))
+    """Sessions of a user's events, closed by half an hour without any."""
+    x = M.sessions(table(spark, d, "events"))
+    return x.select("user_id", F.col("begin").cast("timestamp_ntz").alias("begin"), F.col("end").cast("timestamp_ntz").alias("end"), "n")

@@ -32,13 +32,13 @@ def parse_entities(lines: DataFrame) -> DataFrame:
 
 def parse_letters(pages: DataFrame) -> DataFrame:
     """source, pos, type, text and box of each box of the XML letters (value), one a row."""
-    y = pages.select(F.from_xml("value", LETTER_XML).alias("x")).select("x.source", F.posexplode("x.box").alias("pos", "b"))
+    y = pages.select(F.from_xml("value", LETTER_XML, {"ignoreSurroundingSpaces": "false"}).alias("x")).select("x.source", F.posexplode("x.box").alias("pos", "b"))
     return y.select("source", "pos", "b.type", "b.text", F.col("b._top_left_x").alias("l"), F.col("b._top_left_y").alias("t"), F.col("b._bottom_right_x").alias("r"), F.col("b._bottom_right_y").alias("b"))
 
 
 def read_letters(spark: SparkSession, path: str) -> DataFrame:
     """The same of a folder of XML files, one letter each."""
-    return parse_letters(spark.read.option("wholetext", True).text(path))
+    return parse_letters(spark.read.text(path, wholetext=True))
 
 
 def corpus(docs: DataFrame, sources: list[str] | None = None) -> DataFrame:

@@ -44,7 +44,7 @@ def test_sources(spark, tmp_path):
     assert got["a01-000-01"].box.l is None and got["a01-000-01"].text == ""
     tags = C.parse_entities(spark.createDataFrame([("w1 PER",), ("",), ("w2",)], ["value"])).collect()
     assert [(r.word_id, r.tag) for r in tags] == [("w1", "PER"), ("w2", None)]
-    (tmp_path / "a.xml").write_text('<letter><source>s</source><box top_left_x="1" top_left_y="2" bottom_right_x="3" bottom_right_y="4"><type>Objet</type><text>a &amp; b</text></box></letter>')
+    (tmp_path / "a.xml").write_text('<letter>\n<source>s</source><box top_left_x="1" top_left_y="2" bottom_right_x="3" bottom_right_y="4"><type>Objet</type><text>a &amp; b</text></box></letter>')
     row = C.read_letters(spark, str(tmp_path)).collect()
     assert [(r.source, r.text, r.l, r.b) for r in row] == [("s", "a & b", 1, 4)]
 

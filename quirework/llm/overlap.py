@@ -6,9 +6,13 @@ than k places, so that a pair of which more grams are missing is none. Texts are
 within a cell every pair of lengths within the tolerance is counted: first without places, as products of matrices over hashed
 grams, then, for what is left, with places. Hashing can only hide that a gram is missing; so no pair within the tolerance is lost,
 however short, common or evenly edited its texts are. The edit distance of the whole texts, a banded alignment, decides on the rest.
-No seeds or chains are used: at one edit in ten characters a pair may share no stretch of more than nine characters, which
+That search uses no seeds: at one edit in ten characters a pair may share no stretch of more than nine characters, which
 set phrases share as well.
 
+What the two splits have in common beyond near-copies is told by winnowing fingerprints: of every WINNOW successive hashes of SEED characters the least is
+selected, so that any common stretch of SEED + WINNOW - 1 characters has a common seed. Selected seeds are joined across the splits (coverage); in a pair they are chained
+in order, and the gaps of the chain are aligned (spans).
+
 Defined results: a record counts once; null splits and texts without letter or digit take no part; records of
 other splits than train, valid and test neither. A pair of equal texts is found whatever its length.
 """
@@ -18,6 +22,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.looks import MARKERS, consistent, has_print, look_table, skeleton, use
-from quirework.session import staged
+from quirework.functions.edit import alignment
+from quirework.llm.looks import MARKERS, _repeated, _salted, consistent, has_print, look_table, skeleton, use
+from quirework.session import spread, staged
 
 #: Characters of a gram; ratio of the lengths in a band; texts of a side in a cell at least and at most; texts of train and of eval compared at once.
 GRAM, BAND, CELL, ROWS, COLUMNS = 3, 1.25, (4096, 65536), 1024, 4096
 #: Buckets of places that the most edits of a pair can move a gram by.
 REACH = 4
 
+#: Characters of a seed, and successive seeds of which one is selected: a common stretch of 24 characters is always found.
+SEED, WINNOW = 12, 13
+
 _DROPPED = re.compile(rf"[\s{MARKERS}]+")
 
 
@@ -209,11 +219,135 @@ def near_classes(kept: DataFrame) -> DataFrame:
 def cross_split_pairs(records: DataFrame) -> DataFrame:
     """train_id, eval_id, eval_split, edits, length of all pairs of records that are the same or nearly so. records: record_id, split, text."""
     kept = staged(classes_of(records), "compared")
-    near = near_classes(kept)
-    same = kept.groupBy("cls").agg(F.max(F.col("side") == "train").alias("x"), F.max(F.col("side") == "eval").alias("y"), F.max(F.char_length("norm")).alias("length")).where("x and y")
-    links = near.unionByName(same.select(F.col("cls").alias("e"), F.col("cls").alias("t"), "length", F.lit(0).alias("edits")))
+    links = _links(kept)
     members = kept.select("record_id", "side", "split", "cls").dropDuplicates(["record_id", "side"])
-    e = members.where("side = 'eval'").select(F.col("cls").alias("e"), F.col("record_id").alias("eval_id"), F.col("split").alias("eval_split"))
-    t = members.where("side = 'train'").select(F.col("cls").alias("t"), F.col("record_id").alias("train_id"))
-    out = links.join(e, "e").join(t, "t").where("eval_id <> train_id")
+    e = _salted(members.where("side = 'eval'").select(F.col("cls").alias("e"), F.col("record_id").alias("eval_id"), F.col("split").alias("eval_split")), "eval_id")
+    t = _salted(members.where("side = 'train'").select(F.col("cls").alias("t"), F.col("record_id").alias("train_id")), "train_id")
+    out = _repeated(links).join(e, ["e", "salt"]).drop("salt")  # a third of all records may be of one class
+    out = _repeated(out).join(t, ["t", "salt"]).where("eval_id <> train_id")
     return out.select("train_id", "eval_id", "eval_split", "edits", "length").dropDuplicates(["train_id", "eval_id"])
+
+
+def _links(kept: DataFrame) -> DataFrame:
+    """e, t, length, edits of all pairs of classes that are the same (of both sides) or nearly so."""
+    same = kept.groupBy("cls").agg(F.max(F.col("side") == "train").alias("x"), F.max(F.col("side") == "eval").alias("y"), F.max(F.char_length("norm")).alias("length")).where("x and y")
+    return near_classes(kept).unionByName(same.select(F.col("cls").alias("e"), F.col("cls").alias("t"), "length", F.lit(0).alias("edits")))
+
+
+def cross_split_classes(records: DataFrame) -> DataFrame:
+    """record_id, split, class and links, the number of classes of the other side (its own, too, if that side has it) that are the same or nearly so: one row for each record that takes part."""
+    kept = staged(classes_of(records), "compared")
+    links = _links(kept)
+    per = links.select(F.col("e").alias("cls"), F.lit("eval").alias("side"), F.col("t").alias("other")).unionByName(links.select(F.col("t").alias("cls"), F.lit("train").alias("side"), F.col("e").alias("other")))
+    counts = per.groupBy("cls", "side").agg(F.count("*").alias("links"))
+    members = _salted(kept.select("record_id", "side", "split", "cls").dropDuplicates(["record_id", "side"]), "record_id")
+    out = members.join(_repeated(counts), ["cls", "side", "salt"], "left")
+    return out.select("record_id", "split", F.hex("cls").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+# ---- fingerprints
+
+
+def seeds_of(norm: str) -> list[tuple[int, int]]:
+    """(hash, place) of the selected seeds of a text: of equal hashes in a window the last one; a text shorter than a window has one seed, if it is as long as that."""
+    g = _grams(np.frombuffer(norm.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64), SEED)
+    if not len(g):
+        return []
+    w = min(WINNOW, len(g))
+    windows = np.lib.stride_tricks.sliding_window_view(g[::-1], w)[::-1]
+    at = np.unique(np.arange(len(windows)) + w - 1 - windows.argmin(1))
+    return [(int(h), int(k)) for h, k in zip(g[at].view(np.int64), at)]
+
+
+def fingerprints(classes: DataFrame) -> DataFrame:
+    """cls, seed, at of each of (cls, norm)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, seeds, places = [], [], []
+            for row, norm in enumerate(batch.column(1).to_pylist()):
+                for h, k in seeds_of(norm):
+                    rows.append(row)
+                    seeds.append(h)
+                    places.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(seeds, pa.int64()), pa.array(places, pa.int32())], ["cls", "seed", "at"])
+
+    return classes.select("cls", "norm").mapInArrow(run, "cls bigint, seed bigint, at int")
+
+
+def coverage(records: DataFrame) -> DataFrame:
+    """record_id, split, length, covered (characters in stretches that train has anywhere) of every record of valid and test: a semi-join with the distinct seeds of train.
+
+    No pair is formed, so that a set phrase of a third of all records costs no more than another. A text of less than SEED characters is covered if train has it as a whole."""
+    kept = staged(classes_of(records), "compared")
+    of = lambda side: kept.where(F.col("side") == side).groupBy("cls").agg(F.first("norm").alias("norm"))
+    train = fingerprints(of("train")).select("seed").distinct()
+    met = fingerprints(of("eval")).join(train, "seed", "left_semi")
+    ends = F.array_sort(F.collect_list("at"))  # of one text
+    grown = F.aggregate(F.col("ats"), F.struct(F.lit(0).alias("upto"), F.lit(0).alias("sum")), lambda a, k: F.struct(F.greatest(a["upto"], k + SEED).alias("upto"), (a["sum"] + k + SEED - F.greatest(a["upto"], k)).alias("sum")), lambda a: a["sum"])
+    covered = met.groupBy("cls").agg(ends.alias("ats")).select("cls", grown.alias("covered"))
+    whole = kept.where("side = 'train'").select("cls", F.lit(True).alias("in_train")).distinct()
+    x = of("eval").select("cls", F.char_length("norm").alias("length")).join(covered, "cls", "left").join(whole, "cls", "left")
+    per = x.select("cls", "length", F.when(F.col("in_train"), F.col("length")).otherwise(F.coalesce("covered", F.lit(0))).alias("covered"))
+    members = _salted(kept.where("side = 'eval'").select("record_id", "split", "cls").dropDuplicates(["record_id"]), "record_id")
+    return members.join(_repeated(per), ["cls", "salt"]).select("record_id", "split", "length", "covered")
+
+
+def chain(a: str, b: str) -> list[tuple[int, int]]:
+    """Places of common seeds in a and b, in order in both: the longest such run of those that each text has once."""
+    x, y = ({h: k for h, k in seeds if n[h] == 1} for seeds in (seeds_of(a), seeds_of(b)) for n in [Counter(h for h, _ in seeds)])
+    hits = sorted((x[h], y[h]) for h in x.keys() & y.keys())
+    tails: list[int] = []
+    ends: list[int] = []
+    before = [-1] * len(hits)
+    for k, (_, q) in enumerate(hits):
+        at = bisect_left(tails, q)
+        before[k] = ends[at - 1] if at else -1
+        tails[at : at + 1], ends[at : at + 1] = [q], [k]
+    out = []
+    k = ends[-1] if ends else -1
+    while k >= 0:
+        out.append(hits[k])
+        k = before[k]
+    return out[::-1]
+
+
+def aligned(a: str, b: str) -> tuple[int, int, int]:
+    """Characters that an alignment of a and b keeps, in how many stretches, and the longest one: the seeds of the chain are kept, the gaps between them are aligned."""
+    pairs: list[tuple[int, int]] = []
+    i = j = 0
+    for p, q in [*chain(a, b), (len(a), len(b))]:
+        p, q = (p, q) if p >= i and q >= j else (max(p, i), q + max(p, i) - p)  # seeds that overlap the one before, on its diagonal
+        if p < i or q < j:
+            continue
+        pairs += [(i + x, j + y) for x, y in alignment(a[i:p], b[j:q]) if x >= 0 and y >= 0 and a[i + x] == b[j + y]]
+        n = min(SEED, len(a) - p, len(b) - q)
+        while n and a[p : p + n] != b[q : q + n]:
+            n -= 1
+        pairs += [(p + k, q + k) for k in range(n)]
+        i, j = p + n, q + n
+    stretches = longest = run = 0
+    last = (-2, -2)
+    for pair in pairs:
+        run = run + 1 if pair == (last[0] + 1, last[1] + 1) else 1
+        stretches += run == 1
+        longest, last = max(longest, run), pair
+    return len(pairs), stretches, longest
+
+
+def spans(records: DataFrame) -> DataFrame:
+    """e_class, t_class, edits, kept (characters that the alignment keeps), stretches, longest, e_share and t_share (of each text's characters) of every pair of classes of p4."""
+    kept = staged(classes_of(records), "compared")
+    texts = staged(kept.groupBy("cls").agg(F.first("norm").alias("norm")), "texts")
+    x = _links(kept).join(texts.select(F.col("cls").alias("e"), F.col("norm").alias("a")), "e").join(texts.select(F.col("cls").alias("t"), F.col("norm").alias("b")), "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(*aligned(a, b), len(a), len(b)) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            cols = [pa.array(c, pa.int32()) for c in zip(*made)] or [pa.array([], pa.int32())] * 5
+            share = [pa.array([m[0] / m[k] if m[k] else 1.0 for m in made], pa.float64()) for k in (3, 4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols[:3], *share], ["e", "t", "edits", "kept", "stretches", "longest", "e_share", "t_share"])
+
+    x = spread(x.select("e", "t", "edits", "a", "b"))
+    out = x.mapInArrow(run, "e bigint, t bigint, edits int, kept int, stretches int, longest int, e_share double, t_share double")
+    return out.select(F.hex("e").alias("e_class"), F.hex("t").alias("t_class"), "edits", "kept", "stretches", "longest", F.round("e_share", 6).alias("e_share"), F.round("t_share", 6).alias("t_share"))

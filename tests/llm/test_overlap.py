@@ -3,6 +3,7 @@
 import random
 
 from quirework.functions.edit import edits
+from quirework.llm import overlap as O
 from quirework.llm.overlap import compared, cross_split_pairs
 
 
@@ -55,3 +56,39 @@ def test_short_texts_of_common_grams(spark):
     train = [line[:k] + a + line[k + 1 :] for k in range(30) for a in "xyz"]
     found, true = found_and_true(spark, train, [spread(rng, line, 2), spread(rng, line, 3), line[:12] + line[14:], "abcdefghi"])
     assert found == true and len(true) >= 90
+
+
+def test_fingerprints():
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    for _ in range(50):
+        shared = letters(O.SEED + O.WINNOW - 1)
+        a, b = letters(rng.randrange(80)) + shared + letters(rng.randrange(80)), letters(rng.randrange(80)) + shared + letters(rng.randrange(80))
+        assert {h for h, _ in O.seeds_of(a)} & {h for h, _ in O.seeds_of(b)}
+        places = [k for _, k in O.seeds_of(a)]
+        assert all(q - p <= O.WINNOW for p, q in zip(places, places[1:])) and places == sorted(set(places))
+    assert O.seeds_of("short") == [] and len(O.seeds_of("a" * 12)) == 1
+    for _ in range(40):
+        a = letters(300)
+        b = mixed(rng, a, 20)
+        n, stretches, longest = O.aligned(a, b)
+        assert n >= len(a) - 20 - 20 and longest >= 12 and stretches <= 42
+        found = O.chain(a, b)
+        assert found == sorted(found) and [q for _, q in found] == sorted(q for _, q in found) and len(found) > 5
+    assert O.aligned("", "") == (0, 0, 0) and O.aligned("abc", "abc") == (3, 1, 3) and O.aligned("abc", "xyz") == (0, 0, 0)
+    assert O.aligned("a" * 40, "a" * 40)[0] == 40
+
+
+def test_classes_coverage_and_spans(spark):
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    text, other, part = letters(200), letters(200), letters(60)
+    rows = [(1, "train", text), (2, "train", text), (3, "train", part + letters(100)), (4, "test", text[:50] + "z" + text[51:]), (5, "valid", text), (6, "test", letters(90) + part + letters(50)), (7, "test", other), (8, None, text), (9, "test", None), (10, "valid", "abc"), (11, "train", "abc"), (5, "valid", text)]
+    df = spark.createDataFrame(rows, "record_id bigint, split string, text string")
+    links = {r.record_id: r.links for r in O.cross_split_classes(df).collect()}
+    assert links == {1: 2, 2: 2, 3: 0, 4: 1, 5: 1, 6: 0, 7: 0, 10: 1, 11: 1}
+    covered = {r.record_id: (r.length, r.covered) for r in O.coverage(df).collect()}
+    assert covered[5] == (200, 200) and covered[10] == (3, 3) and covered[7] == (200, 0) and 36 <= covered[6][1] <= 60 and 150 < covered[4][1] < 200
+    pairs = {(r.edits, r.kept, r.stretches) for r in O.spans(df).collect()}
+    assert pairs == {(0, 200, 1), (1, 199, 2), (0, 3, 1)}
+    assert O.coverage(df.limit(0)).count() == O.spans(df.limit(0)).count() == O.cross_split_classes(df.limit(0)).count() == 0

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirework.llm.looks import MARKERS, consistent, use
-from quirework.session import staged
+from quirework.session import spread, staged
 
 #: Encodings in which UTF-8 is read by mistake, and those in which the result may be read wrong again.
 WRONG = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "gbk", "big5", "koi8-r", "cp866", "shift_jis")
@@ -216,7 +216,7 @@ def garbled_words(words: DataFrame) -> DataFrame:
     counts = words.groupBy("word", "clean").agg(F.count("*").alias("n"))
     counts = staged(counts, "words")
     clean, other = counts.where("clean"), counts.where("not clean")
-    table = form_table(clean)
+    table = form_table(spread(clean))
     # a form that is a clean-looking word itself counts only if it has lost something, is rarer than its original, and short of letters
     suspects = counts.select("word", F.col("n").alias("own"), "clean")
     met = table.join(suspects, F.col("form") == F.col("word")).where("(not clean and not swapped) or (lost and own < n)")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quirework.functions import arrays as A
 from quirework.functions import text as T
-from quirework.operators.ordering import global_rank
+from quirework.operators.ordering import global_rank, group_rank, running, trailing
 from quirework.plans import fixtures as X
 from quirework.plans.base import Book
 from quirework.sources.tables import table
@@ -87,16 +87,18 @@ def page_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @_q("SELECT user_id, event_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER w AS BIGINT) / CAST(sum(event_id % 7 + 1) OVER w AS BIGINT) AS rate FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
 def trailing_cer(spark: SparkSession, d: str) -> DataFrame:
-    """A ratio of sums over the trailing rows, in hundredths so that no order of adding matters."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-99, 0)
-    return table(spark, d, "events").select("user_id", "event_id", (F.sum(F.round(F.col("value") * 100).cast("bigint")).over(w) / F.sum(F.col("event_id") % 7 + 1).over(w)).alias("rate"))
+    """A ratio of sums over the trailing rows, in hundredths so that no order of adding matters; users of any size, see ordering.py."""
+    x = table(spark, d, "events").select("user_id", "event_id", "ts", F.round(F.col("value") * 100).cast("bigint").alias("v"), (F.col("event_id") % 7 + 1).alias("n"))
+    laid, w = trailing(group_rank(x, ["user_id"], ["ts", "event_id"]), ["user_id"], 100)
+    return laid.select("user_id", "event_id", "_own", (F.sum("v").over(w) / F.sum("n").over(w)).alias("rate")).where("_own").drop("_own")
 
 
 @_q("SELECT user_id, event_id, value, coalesce(value <= min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS best FROM events WHERE value IS NOT NULL")
 def best_so_far(spark: SparkSession, d: str) -> DataFrame:
     """Whether a value is at least as good as all before; ties count."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
-    return table(spark, d, "events").where("value is not null").select("user_id", "event_id", "value", F.coalesce(F.col("value") <= F.min("value").over(w), F.lit(True)).alias("best"))
+    x = table(spark, d, "events").where("value is not null").select("user_id", "event_id", "ts", "value")
+    x = running(group_rank(x, ["user_id"], ["ts", "event_id"]), ["user_id"], {"least": ("min", F.col("value"))}, upto=-1)
+    return x.select("user_id", "event_id", "value", F.coalesce(F.col("value") <= F.col("least"), F.lit(True)).alias("best"))
 
 
 @_q("SELECT event_id, CAST((row_number() OVER (ORDER BY event_id) - 1) // 64 AS INTEGER) AS batch FROM events")
@@ -116,13 +118,14 @@ def positional_split(spark: SparkSession, d: str) -> DataFrame:
 def early_stop(spark: SparkSession, d: str) -> DataFrame:
     """Place at which patience (3) runs out by values worse than the best by more than 5; what lies between leaves the count alone; -1: never.
 
-    As windows, so that no user's values are gathered: a new best starts a run, the bad values of a run are counted."""
-    o = W.partitionBy("user_id").orderBy("ts", "event_id")
+    As running aggregates in blocks, so that no user's values are gathered: a new best starts a run, the bad values since the last start are a difference of sums."""
+    by = ["user_id"]
     x = table(spark, d, "events").where("value is not null").select("user_id", "ts", "event_id", "value")
-    x = x.withColumn("best", F.min("value").over(o.rowsBetween(W.unboundedPreceding, -1))).withColumn("i", F.row_number().over(o) - 1)
-    x = x.withColumn("run", F.sum((F.col("best").isNull() | (F.col("value") < F.col("best"))).cast("int")).over(o.rowsBetween(W.unboundedPreceding, 0)))
-    x = x.withColumn("bad", F.sum((F.col("value") > F.col("best") + 5).cast("int")).over(W.partitionBy("user_id", "run").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)))
-    hit = F.min(F.when((F.col("bad") >= 3) & (F.col("value") > F.col("best") + 5), F.col("i")))
+    x = running(group_rank(x, by, ["ts", "event_id"]), by, {"best": ("min", F.col("value"))}, upto=-1)
+    x = x.withColumns({"start": F.col("best").isNull() | (F.col("value") < F.col("best")), "off": F.coalesce((F.col("value") > F.col("best") + 5).cast("int"), F.lit(0))})
+    x = running(x, by, {"bad": ("sum", F.col("off"))})
+    x = running(x, by, {"base": ("max", F.when(F.col("start"), F.col("bad")))})
+    hit = F.min(F.when((F.col("bad") - F.col("base") >= 3) & (F.col("off") == 1), F.col("k") - 1))
     return x.groupBy("user_id").agg(F.coalesce(hit, F.lit(-1)).cast("int").alias("stop"))
 
 

@@ -14,7 +14,7 @@ from quirework.functions.maps import merge_maps
 from quirework.functions.rng import UNIFORM_SQL, uniform, uniform_int
 from quirework.operators import entities as N
 from quirework.operators import evaluation as V
-from quirework.operators.ordering import global_rank
+from quirework.operators.ordering import group_rank
 from quirework.plans import fixtures as X
 from quirework.plans.base import Book
 from quirework.plans.text_queries import _CHARS, _sql_alternatives, _sql_cer, _sql_repair, _sql_wer
@@ -221,11 +221,9 @@ SELECT source, s, row_number() OVER (PARTITION BY source ORDER BY h, doc_id, i)
 def text_carry_over(spark: SparkSession, d: str) -> DataFrame:
     """A corpus in shuffled order cut into pages of so many sentences; what a document leaves over opens the next page, and nothing is lost.
 
-    Places in a source come from a sort by range and offsets, as in global_rank: no source is one window."""
+    Places in a source come from a sort by range and offsets: no source is one window."""
     x = X.sentences(spark, d).select("source", F.md5(F.concat(F.lit("13:"), F.col("doc_id").cast("string"))).alias("h"), "doc_id", F.posexplode(F.split("text", r"\. ")).alias("i", "s"))
-    ranked = global_rank(x, ["source", "h", "doc_id", "i"], "k")
-    first = ranked.groupBy("source").agg(F.min("k").alias("first"))
-    placed = ranked.join(first, "source").withColumn("page", F.floor((F.col("k") - F.col("first")) / _CARRY))
+    placed = group_rank(x, ["source"], ["h", "doc_id", "i"]).withColumn("page", F.floor((F.col("k") - 1) / _CARRY))
     rows = F.array_sort(F.collect_list(F.struct("k", "s")))
     return placed.groupBy("source", "page").agg(F.array_join(F.transform(rows, lambda r: r["s"]), ". ").alias("text"))
 

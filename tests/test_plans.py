@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quirework.functions.rng import uniform
-from quirework.operators.ordering import global_rank
+from quirework.operators.ordering import global_rank, group_rank, running, trailing
 from quirework.sources import corpora as C
 from quirework.streaming import metrics as M
 
@@ -32,6 +32,25 @@ def test_rank(spark):
     assert global_rank(x.limit(0), ["k"]).count() == 0
 
 
+def test_windows_in_blocks(spark):
+    """Ranks, trailing and running windows are the same however small the blocks are; groups of unequal size, a null group among them."""
+    rows = [(None if k % 5 == 0 else "a" if k % 3 else "b", k, (k * 37) % 23) for k in range(200)]
+    x = spark.createDataFrame(rows, "g string, id long, v long").repartition(5)
+    ranked = group_rank(x, ["g"], ["id"])
+    want = {}
+    for g in (None, "a", "b"):
+        own = sorted((k, v) for h, k, v in rows if h == g)
+        for n, (k, v) in enumerate(own):
+            want[k] = (n + 1, sum(y for _, y in own[max(0, n - 6) : n + 1]), min((y for _, y in own[:n]), default=None), sum(y for _, y in own[: n + 1]))
+    laid, w = trailing(ranked, ["g"], 7, block=9)
+    got = {r.id: (r.k, r.s) for r in laid.withColumn("s", F.sum("v").over(w)).where("_own").collect()}
+    assert got == {k: v[:2] for k, v in want.items()}
+    one = running(ranked, ["g"], {"least": ("min", F.col("v"))}, upto=-1, block=9)
+    two = running(one, ["g"], {"sum": ("sum", F.col("v"))}, block=11)
+    assert {r.id: (r.least, r["sum"]) for r in two.collect()} == {k: v[2:] for k, v in want.items()}
+    assert running(group_rank(x.limit(0), ["g"], ["id"]), ["g"], {"m": ("max", F.col("v"))}).count() == 0
+
+
 def test_uniform(spark):
     u = [r.u for r in spark.range(2000).select(uniform("id", seed=1).alias("u")).collect()]
     assert 0 <= min(u) and max(u) < 1 and abs(sum(u) / len(u) - 0.5) < 0.03

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quirework.functions import text as T
 from quirework.functions.rng import UNIFORM_SQL, uniform
+from quirework.operators import composers as O
 from quirework.operators import schedules as S
 from quirework.operators.ordering import global_rank
 from quirework.plans import fixtures as X
@@ -118,6 +119,88 @@ def synth_pages(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", number.alias("number"), boxes.alias("lines"), (width * 12 + 120).alias("page_width"), body.alias("raw"), sem.alias("sem"))
 
 
+_PAGE_SQL = "SELECT doc_id, list_slice(lines, 1, 12) AS lines FROM (SELECT doc_id, " + _sql_wrap("window_text", 60) + " AS lines FROM (SELECT doc_id, array_to_string(list_slice(string_split(text, '. '), CAST(doc_id % n_sentences AS INTEGER) + 1, CAST(doc_id % n_sentences AS INTEGER) + 12), '. ') AS window_text FROM q_sentences))"
+_U = lambda n: _u(f"'{n}:' || doc_id")
+
+
+def _some_words(line: str, first: int, n: int) -> str:
+    return f"array_to_string(list_slice(string_split({line}, ' '), {first}, {first + n - 1}), ' ')"
+
+
+_LETTER_SQL = f"""SELECT doc_id, kind, text, CAST(l AS INTEGER) AS l, CAST(t AS INTEGER) AS t, CAST(r AS INTEGER) AS r, CAST(b AS INTEGER) AS b, k FROM (
+SELECT doc_id, 0 AS k, 'ⓢ' AS kind, text, 60 AS l, 40 AS t, 60 + 12 * length(text) AS r, 80 AS b FROM (SELECT doc_id, {_some_words('lines[1]', 1, 3)} AS text FROM page WHERE {_U(31)} < 0.8)
+UNION ALL SELECT doc_id, 1, 'ⓦ', text, 700, 100, 700 + 12 * length(text), 140 FROM (SELECT doc_id, {_some_words('lines[1]', 4, 3)} AS text FROM page WHERE {_U(32)} < 0.7)
+UNION ALL SELECT doc_id, 2, 'ⓞ', text, 120, 180, 120 + 12 * length(text), 220 FROM (SELECT doc_id, {_some_words('lines[-1]', 1, 2)} AS text FROM page WHERE {_U(33)} < 0.6)
+UNION ALL SELECT doc_id, 3, 'ⓑ', array_to_string(lines, chr(10)), 60, 260, 60 + 12 * list_max(list_transform(lines, lambda s: length(s))), 260 + 48 * len(lines) FROM page
+UNION ALL SELECT doc_id, 4, 'ⓟ', text, 60, 300 + 48 * n, 60 + 12 * length(text), 340 + 48 * n FROM (SELECT doc_id, len(lines) AS n, {_some_words('lines[-1]', 3, 4)} AS text FROM page WHERE {_U(34)} < 0.2)) WHERE text <> ''"""
+_CUT = lambda n: f"list_transform(range(0, greatest((len(lines) - 1) // {n}, 0) + 1), lambda i: list_slice(lines, i * {n} + 1, i * {n} + {n}))"
+
+
+def _letters(spark: SparkSession, d: str) -> DataFrame:
+    u = {k: uniform("doc_id", seed=n) for k, n in (("ⓢ", 31), ("ⓦ", 32), ("ⓞ", 33), ("ⓟ", 34))}
+    return page_text(spark, d).select("doc_id", O.letter_parts(F.col("lines"), u).alias("parts"))
+
+
+@_q(X.with_sql(f"SELECT doc_id, string_agg(text, chr(10) ORDER BY k) AS raw, string_agg(kind || text || CASE kind WHEN 'ⓢ' THEN 'Ⓢ' WHEN 'ⓦ' THEN 'Ⓦ' WHEN 'ⓞ' THEN 'Ⓞ' WHEN 'ⓑ' THEN 'Ⓑ' ELSE 'Ⓟ' END, '' ORDER BY k) AS sem FROM (WITH page AS ({_PAGE_SQL}) {_LETTER_SQL}) GROUP BY doc_id"))
+def synth_letters(spark: SparkSession, d: str) -> DataFrame:
+    """Letters: sender, place and date, opening, body, postscript, each but the body on part of the pages only; plain and tagged."""
+    return _letters(spark, d).select("doc_id", O.plain(F.col("parts")).alias("raw"), O.tagged(F.col("parts")).alias("sem"))
+
+
+@_q(X.with_sql(f"SELECT doc_id, kind, l, t, r, b FROM (WITH page AS ({_PAGE_SQL}) {_LETTER_SQL})"))
+def synth_letter_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return _letters(spark, d).select("doc_id", F.explode("parts").alias("p")).select("doc_id", "p.kind", "p.l", "p.t", "p.r", "p.b")
+
+
+@_q(X.with_sql(f"SELECT doc_id, 'ⓟⓝ' || CAST(floor({_U(21)} * 400) + 1 AS INTEGER) || 'Ⓝ' || array_to_string(list_transform({_CUT(3)}, lambda s: 'ⓢⓐ' || {_some_words('s[1]', 1, 2)} || 'Ⓐⓑ' || array_to_string(s, chr(10)) || 'ⒷⓈ'), '') || 'Ⓟ' AS sem FROM ({_PAGE_SQL})"))
+def synth_registers(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of registers: number, and sections of annotation and body."""
+    number = (F.floor(uniform("doc_id", seed=21) * 400) + 1).cast("int")
+    return page_text(spark, d).select("doc_id", O.register_page(F.col("lines"), number).alias("sem"))
+
+
+@_q(X.with_sql(f"SELECT doc_id, 'ⓟ' || array_to_string(list_transform({_CUT(4)}, lambda s: 'ⓜⓝ' || {_some_words('s[1]', 1, 2)} || 'Ⓝⓘ' || {_some_words('s[1]', 3, 1)} || 'Ⓘⓑ' || array_to_string(s, chr(10)) || 'Ⓑ' || CASE WHEN {_U(35)} < 0.5 THEN 'ⓢ+Ⓢ' ELSE '' END || 'Ⓜ'), '') || 'Ⓟ' AS sem FROM ({_PAGE_SQL})"))
+def synth_acts(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of acts: names and particulars in the margin, paragraphs, signatures on half of them."""
+    return page_text(spark, d).select("doc_id", O.act_page(F.col("lines"), uniform("doc_id", seed=35)).alias("sem"))
+
+
+_HALF = "array_to_string(list_slice(string_split(lines[-1], ' '), 1, greatest(len(string_split(lines[-1], ' ')) // 2, 1)), ' ')"
+
+
+@_q(X.with_sql(f"SELECT doc_id, list_transform(CASE WHEN len(lines) > 1 THEN list_concat(['    ' || lines[1]], list_slice(lines, 2, len(lines) - 1), CASE WHEN {_U(36)} < 1.0 / 15 AND len(lines) > 2 THEN [lines[len(lines) - 1]] ELSE [] END, [{_HALF}]) ELSE ['    ' || lines[1]] END, lambda s: substring(s, 1, 58)) AS lines FROM ({_PAGE_SQL})"))
+def synth_section_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a section: indented, the last one short, now and then one said twice."""
+    return page_text(spark, d).select("doc_id", O.section_lines(F.col("lines"), uniform("doc_id", seed=36), 58).alias("lines"))
+
+
+@_q(X.with_sql("SELECT record_id, CAST(pos // 8 AS BIGINT) AS line, string_agg(word || CASE tag WHEN 'PER' THEN '✻' WHEN 'LOC' THEN '✼' ELSE '' END, ' ' ORDER BY pos) AS text FROM q_words GROUP BY record_id, pos // 8"))
+def synth_tagged_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of eight words with entity signs after them."""
+    rows = F.array_sort(F.collect_list(F.struct("pos", F.concat("word", F.expr("CASE tag WHEN 'PER' THEN '✻' WHEN 'LOC' THEN '✼' ELSE '' END")).alias("w"))))
+    x = X.words(spark, d).groupBy("record_id", F.floor(F.col("pos") / 8).alias("line")).agg(rows.alias("r"))
+    return x.select("record_id", "line", F.array_join(F.transform("r", lambda r: r["w"]), " ").alias("text"))
+
+
+_LINE_KINDS = {"short": "length(label) BETWEEN 3 AND 20", "middle": "length(label) BETWEEN 21 AND 60", "long": "length(label) > 60"}
+
+
+@_q(X.with_sql(" UNION ALL ".join(f"SELECT archive, '{k}' AS kind, arg_min(region_id, md5('{k}:' || region_id)) AS region_id FROM q_regions WHERE {rule} GROUP BY archive" for k, rule in _LINE_KINDS.items())))
+def pick_lines_by_kind(spark: SparkSession, d: str) -> DataFrame:
+    """For each archive one line of each length, the one whose hash is least: pickers that filter first and need no second try."""
+    kind = F.expr("CASE " + " ".join(f"WHEN {rule.replace('length', 'char_length')} THEN '{k}'" for k, rule in _LINE_KINDS.items()) + " END")
+    x = X.regions(spark, d).select("archive", "region_id", kind.alias("kind")).where("kind is not null")
+    return x.groupBy("archive", "kind").agg(F.min_by("region_id", F.md5(F.concat_ws(":", "kind", F.col("region_id").cast("string")))).alias("region_id"))
+
+
+@_q("SELECT module, CAST(sum(n) AS BIGINT) AS parameters FROM (VALUES ('encoder', 3 * 64 * 9), ('encoder', 64), ('decoder', 512 * 2048), ('decoder', 2048), ('decoder', 1)) t(module, n) GROUP BY module")
+def parameter_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Parameters of modules from the shapes of their tensors."""
+    shapes = [("encoder", [3, 64, 3, 3]), ("encoder", [64]), ("decoder", [512, 2048]), ("decoder", [2048]), ("decoder", [])]
+    x = spark.createDataFrame(shapes, "module string, shape array<bigint>")
+    return x.groupBy("module").agg(F.sum(F.aggregate("shape", F.lit(1).cast("bigint"), lambda a, k: a * k)).alias("parameters"))
+
+
 @_q("SELECT event_id, CASE event_id % 2 WHEN 0 THEN '' ELSE 'le ' END || CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%d %B') ELSE strftime(ts, '%d %B %Y') END AS text FROM events")
 def date_text(spark: SparkSession, d: str) -> DataFrame:
     """Dates with or without the year, with or without an article."""

@@ -10,8 +10,15 @@ from pyspark.sql import functions as F
 
 def char_edits(a: Column, b: Column, most: int | None = None) -> Column:
     """Insertions, deletions and replacements of code points between two strings; -1 beyond `most`."""
-    d = F.levenshtein(a, b) if most is None else F.levenshtein(a, b, most)
-    return d.cast("bigint")
+    if most is not None:
+        return F.levenshtein(a, b, most).cast("bigint")
+    return bound(F.struct(a.alias("a"), b.alias("b")), lambda x: _edits(x["a"], x["b"]))
+
+
+def _edits(a: Column, b: Column) -> Column:
+    """Near strings are told by the band of the table that a few edits leave; only where that is not enough is the whole table worked out."""
+    band = F.greatest(F.lit(8), F.floor(F.char_length(a) / 10).cast("int"))
+    return bound(F.call_function("levenshtein", a, b, band), lambda d: F.when(d >= 0, d).otherwise(F.levenshtein(a, b))).cast("bigint")
 
 
 def word_edits(a: Column, b: Column) -> Column:

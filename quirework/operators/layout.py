@@ -435,7 +435,8 @@ def average_precisions(truths: list[str], preds: list[str], thresholds: list[flo
 
     AP is the sum of the gains in recall, each times the best precision reached from there on; without truths it is 0."""
     free = [t for t in truths if t]
-    rates = [[edits(t, p) / len(t) for t in free] for p in preds]
+    most = max(thresholds, default=0.0)  # a rate beyond it is no hit whatever it is; lengths alone rule most of these out
+    rates = [[edits(t, p) / len(t) if abs(len(t) - len(p)) <= most * len(t) else float("inf") for t in free] for p in preds]
     out = []
     for threshold in thresholds:
         left = list(range(len(free)))

@@ -64,17 +64,15 @@ def synth_gate(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- sampling
 
-_DRAWS = 2000
 
-
-@_q(f"WITH w AS (SELECT source, n / sum(n) OVER () AS w, sum(n) OVER (ORDER BY source) AS hi, sum(n) OVER () AS total FROM (SELECT coalesce(source, 'none') AS source, count(*) AS n FROM samples GROUP BY 1)) SELECT i AS draw, (SELECT min(source) FROM w WHERE hi > {_u(chr(39) + '3:' + chr(39) + ' || i')} * total) AS source FROM range(0, {_DRAWS}) t(i)")
+@_q(f"WITH w AS (SELECT source, sum(n) OVER (ORDER BY source) AS hi, sum(n) OVER () AS total FROM (SELECT coalesce(source, 'none') AS source, count(*) AS n FROM samples GROUP BY 1)) SELECT event_id AS draw, (SELECT min(source) FROM w WHERE hi > {_u(chr(39) + '3:' + chr(39) + ' || event_id')} * total) AS source FROM events")
 def weighted_sample(spark: SparkSession, d: str) -> DataFrame:
-    """Draws with replacement, sources weighted by their size: each draw's uniform number falls into one source's stretch of the summed weights. The stretches are as many as there are sources."""
+    """A draw with replacement for each event, sources weighted by their size: its uniform number falls into one source's stretch of the summed weights. The stretches are as many as there are sources."""
     n = table(spark, d, "samples").groupBy(F.coalesce("source", F.lit("none")).alias("source")).agg(F.count("*").alias("n"))
     one = n.agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("rows"))  # one entry a source
     grown = F.aggregate("rows", F.array().cast("array<struct<hi:bigint,source:string>>"), lambda a, r: F.concat(a, F.array(F.struct((r["n"] + F.coalesce(F.try_element_at(a, F.lit(-1))["hi"], F.lit(0))).alias("hi"), r["source"].alias("source")))))
     stretches = one.select(grown.alias("w"))
-    draws = spark.range(_DRAWS).select(F.col("id").alias("draw"), uniform("id", seed=3).alias("u"))
+    draws = table(spark, d, "events").select(F.col("event_id").alias("draw"), uniform("event_id", seed=3).alias("u"))
     total = F.element_at("w", -1)["hi"]
     return draws.join(F.broadcast(stretches)).select("draw", F.filter("w", lambda x: x["hi"] > F.col("u") * total)[0]["source"].alias("source"))
 

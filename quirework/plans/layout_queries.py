@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirework.functions import text as T
 from quirework.functions.distance import char_edits, ratio
 from quirework.operators import evaluation as V
 from quirework.operators import layout as L
+from quirework.operators.ordering import group_rank, running
 from quirework.plans import fixtures as X
 from quirework.plans.base import Book
 from quirework.plans.text_queries import _CHARS, _sql_cer, row_rates
@@ -154,14 +154,17 @@ SELECT class, lang, region_id, CASE WHEN region_id % 3 = 0 THEN 1 ELSE 0 END AS
 
 @_q(X.with_sql(_PR))
 def precision_recall_curve(spark: SparkSession, d: str) -> DataFrame:
-    """Running precision and recall of ranked regions, the best precision from there on, and the gain in recall."""
-    by = W.partitionBy("class", "lang")
-    x = X.pairs(spark, d).select("class", "lang", "region_id", F.when(F.col("region_id") % 3 == 0, 1).otherwise(0).alias("c"))
-    x = x.withColumn("k", F.row_number().over(by.orderBy((F.col("region_id") * 7) % 101, "region_id")))
-    run = by.orderBy("k").rowsBetween(W.unboundedPreceding, 0)
-    x = x.withColumn("p", F.sum("c").over(run) / F.col("k")).withColumn("r", F.sum("c").over(run) / F.count("*").over(by))
-    best = F.max("p").over(by.orderBy("k").rowsBetween(0, W.unboundedFollowing))
-    return x.select("class", "region_id", "p", "r", best.alias("best"), (F.col("r") - F.coalesce(F.lag("r").over(by.orderBy("k")), F.lit(0.0))).alias("gain"))
+    """Running precision and recall of ranked regions, the best precision from there on, and the gain in recall.
+
+    A class may be a third of all rows: ranks and running values, forth and back, are worked out in blocks."""
+    by = ["class", "lang"]
+    x = X.pairs(spark, d).select(*by, "region_id", F.when(F.col("region_id") % 3 == 0, 1).otherwise(0).alias("c"), ((F.col("region_id") * 7) % 101).alias("o"))
+    x = group_rank(x, by, ["o", "region_id"])
+    n = x.groupBy(*by).agg(F.count("*").alias("n"))  # a row for each class and language
+    x = running(x, by, {"s": ("sum", F.col("c"))}).join(n, by)
+    x = x.withColumns({"p": F.col("s") / F.col("k"), "r": F.col("s") / F.col("n"), "back": F.col("n") - F.col("k") + 1})
+    x = running(x, by, {"best": ("max", F.col("p"))}, k="back")
+    return x.select("class", "region_id", "p", "r", "best", (F.col("r") - (F.col("s") - F.col("c")) / F.col("n")).alias("gain"))
 
 
 @_q(X.with_sql(f"SELECT record_id, class, {X.sql_edits(_CHARS.format('a'), _CHARS.format('b'))} AS edits, CAST(length(a) AS BIGINT) AS n FROM (SELECT record_id, class, string_agg(content, '' ORDER BY pos) AS a, coalesce(any_value(b), '') AS b FROM ({_sql_each('gt')}) g LEFT JOIN (SELECT record_id, class, string_agg(content, '' ORDER BY pos) AS b FROM ({_sql_each('pred')}) GROUP BY record_id, class) p USING (record_id, class) GROUP BY record_id, class)"))

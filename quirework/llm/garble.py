@@ -212,7 +212,7 @@ def taken_apart(word: str, known: frozenset[str]) -> str | None:
 
 
 def garbled_words(words: DataFrame) -> DataFrame:
-    """word, original (null if it can't be restored) of the garbled words among (place, item_id, word, clean)."""
+    """word, original (null if it can't be restored), way ('table': a form of a clean word; 'apart': taken apart) of the garbled words among (place, item_id, word, clean)."""
     counts = words.groupBy("word", "clean").agg(F.count("*").alias("n"))
     counts = staged(counts, "words")
     clean, other = counts.where("clean"), counts.where("not clean")
@@ -232,7 +232,8 @@ def garbled_words(words: DataFrame) -> DataFrame:
             out = [x for x in out if x[2]]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([None if x[1] is None or LOST in x[1] else x[1] for x in out], pa.string())], ["word", "original"])
 
-    return hits.unionByName(missed.select("word").mapInArrow(run, "word string, original string"))
+    apart = missed.select("word").mapInArrow(run, "word string, original string")
+    return hits.withColumn("way", F.lit("table")).unionByName(apart.withColumn("way", F.lit("apart")))
 
 
 #: Salts of a garbled word, as a third of all items may hold the same one.
@@ -240,11 +241,11 @@ SALTS = 8
 
 
 def garbled(texts: DataFrame) -> DataFrame:
-    """place, item_id, word, original: the garbled words of each item of (place, item_id, text)."""
+    """place, item_id, word, original, way: the garbled words of each item of (place, item_id, text)."""
     words = staged(text_words(texts), "text-words")
     bad = garbled_words(words).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = words.select("place", "item_id", "word", F.pmod(F.xxhash64("item_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    return rows.join(bad, ["word", "salt"]).select("place", "item_id", "word", "original").dropDuplicates(["place", "item_id", "word"])
+    return rows.join(bad, ["word", "salt"]).select("place", "item_id", "word", "original", "way").dropDuplicates(["place", "item_id", "word"])
 
 
 def replaced(text: str, to: dict[str, str]) -> str:

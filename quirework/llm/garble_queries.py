@@ -23,4 +23,10 @@ def p5_restored(spark: SparkSession, d: str) -> DataFrame:
     return restored(_texts(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_restored)}
+def p5_words(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled words with their originals, how they were found, and how many items hold them."""
+    x = garbled(_texts(spark, d)).groupBy("word").agg(F.first("original").alias("original"), F.first("way").alias("way"), F.count("*").alias("items"))
+    return x.select("word", "original", "way", "items")
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_restored, p5_words)}

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.functions.distance import char_edits, ratio, word_edits
-from quirework.functions.text import JOINT_TO_SINGLE, LETTER_PAIRS, cer_normalise, keep_tokens, to_single, wer_normalise
+from quirework.functions.text import JOINT_TO_SINGLE, LETTER_PAIRS, cer_normalise, keep_tokens, wer_normalise
 from quirework.operators import layout as L
 from quirework.session import spread
 
@@ -181,4 +181,4 @@ def evaluated(pairs: DataFrame, marks: str) -> DataFrame:
     return both.where(_wanted(F.col("metric")) | (F.col("metric") == "bounded")).select("dataset", "metric", F.round("value", 6).alias("value"))
 
 
-__all__ = ["LAYOUTS", "METRICS", "Layout", "evaluated", "layout_of", "layout_rows", "matched", "metrics_of", "register_layout", "repaired_with", "text_rows", "to_single"]
+__all__ = ["LAYOUTS", "METRICS", "Layout", "evaluated", "layout_of", "layout_rows", "matched", "metrics_of", "register_layout", "repaired_with", "text_rows"]

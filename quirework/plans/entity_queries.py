@@ -87,7 +87,12 @@ def _tagged_pairs(spark: SparkSession, d: str) -> DataFrame:
     return x.select("record_id", joined("after").alias("gt"), joined("lossy").alias("pred"))
 
 
-@_q()
+_PARTS = "regexp_split_to_array(replace(gt, chr(10), ' '), '[ &(),./:;=?]')"
+
+
+@_q(X.with_sql(f"""SELECT record_id, CAST(row_number() OVER w - 1 AS INTEGER) AS pos, plain AS word, CASE WHEN name = '' THEN 'O' WHEN name = lag(name) OVER w THEN 'I-' || name ELSE 'B-' || name END AS tag FROM (
+SELECT record_id, i, regexp_extract(part, '^(.+?)([{_SIGNS}]{{1,2}})$', 2) AS name, CASE WHEN regexp_matches(part, '^(.+?)([{_SIGNS}]{{1,2}})$') THEN regexp_extract(part, '^(.+?)([{_SIGNS}]{{1,2}})$', 1) ELSE part END AS plain FROM (
+SELECT record_id, unnest({_PARTS}) AS part, generate_subscripts({_PARTS}, 1) AS i FROM (SELECT record_id, string_agg(word || {_SIGN_SQL}, ' ' ORDER BY pos) AS gt FROM q_words GROUP BY record_id)) WHERE part <> '') WINDOW w AS (PARTITION BY record_id ORDER BY i)"""))
 def bio_lines(spark: SparkSession, d: str) -> DataFrame:
     import pyarrow as pa
 

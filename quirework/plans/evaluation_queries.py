@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirework.functions import text as T
@@ -17,7 +16,7 @@ from quirework.operators import evaluation as V
 from quirework.operators.ordering import group_rank
 from quirework.plans import fixtures as X
 from quirework.plans.base import Book
-from quirework.plans.text_queries import _CHARS, _sql_alternatives, _sql_cer, _sql_repair, _sql_wer
+from quirework.plans.text_queries import _CHARS, _sql_alternatives, _sql_cer, _sql_repair
 from quirework.session import staging_dir
 from quirework.sources import files, pages, sinks
 from quirework.sources.tables import table

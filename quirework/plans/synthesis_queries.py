@@ -5,14 +5,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quirework.functions import text as T
 from quirework.functions.rng import UNIFORM_SQL, uniform
 from quirework.operators import composers as O
 from quirework.operators import schedules as S
-from quirework.operators.ordering import global_rank
 from quirework.plans import fixtures as X
 from quirework.plans.base import Book
 from quirework.plans.text_queries import _sql_wrap

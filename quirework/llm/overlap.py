@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirework.functions.edit import alignment
+from quirework.functions.edit import edits as char_edits
 from quirework.llm.looks import MARKERS, _repeated, _salted, consistent, has_print, look_table, skeleton, use
 from quirework.session import spread, staged
 
@@ -212,8 +213,39 @@ def near_classes(kept: DataFrame) -> DataFrame:
     x = pairs.join(texts.select(F.col("cls").alias("e"), F.col("norm").alias("a")), "e").join(texts.select(F.col("cls").alias("t"), F.col("norm").alias("b")), "t")
     longer = F.greatest(F.char_length("a"), F.char_length("b"))
     x = x.select("e", "t", "a", "b", longer.alias("length"), F.floor(longer / 10).cast("int").alias("most"))
-    edits = F.expr("levenshtein(a, b, most)")  # a banded alignment; -1 beyond the tolerance
-    return x.select("e", "t", "length", edits.alias("edits")).where("edits >= 0")
+    # a banded alignment, -1 beyond the tolerance; very long texts are compared in Python, without what they have in common at both ends
+    edits = F.expr(f"CASE WHEN length <= {VERY_LONG} THEN levenshtein(a, b, most) END")
+    x = x.withColumn("edits", edits).where("edits is null or edits >= 0")
+    x = x.select("e", "t", "length", "edits", "most", F.expr("CASE WHEN edits IS NULL THEN a END").alias("a"), F.expr("CASE WHEN edits IS NULL THEN b END").alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in (3, 4, 5, 6)))
+            made = [d if d is not None else _core_edits(a, b) for d, _, a, b in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.int32()), batch.column(4)], ["e", "t", "length", "edits", "most"])
+
+    x = x.mapInArrow(run, "e bigint, t bigint, length int, edits int, most int")
+    return x.where("edits <= most").select("e", "t", "length", "edits")
+
+
+#: Characters from which a pair's edit distance is worked out in Python.
+VERY_LONG = 20_000
+
+
+def _common(a: str, b: str) -> int:
+    """Characters that two texts begin with alike, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    return low
+
+
+def _core_edits(a: str, b: str) -> int:
+    n = _common(a, b)
+    a, b = a[n:], b[n:]
+    n = _common(a[::-1], b[::-1])
+    return char_edits(a[: len(a) - n], b[: len(b) - n])
 
 
 def cross_split_pairs(records: DataFrame) -> DataFrame:
@@ -294,8 +326,13 @@ def coverage(records: DataFrame) -> DataFrame:
 
 
 def chain(a: str, b: str) -> list[tuple[int, int]]:
-    """Places of common seeds in a and b, in order in both: the longest such run of those that each text has once."""
-    x, y = ({h: k for h, k in seeds if n[h] == 1} for seeds in (seeds_of(a), seeds_of(b)) for n in [Counter(h for h, _ in seeds)])
+    """Places of common seeds in a and b, in order in both: the longest such run, where the n-th of equal seeds of one text stands for the n-th of the other."""
+    x, y = ({}, {})
+    for seeds, of in ((seeds_of(a), x), (seeds_of(b), y)):
+        n: Counter = Counter()
+        for h, k in seeds:
+            of[h, n[h]] = k
+            n[h] += 1
     hits = sorted((x[h], y[h]) for h in x.keys() & y.keys())
     tails: list[int] = []
     ends: list[int] = []
@@ -312,15 +349,30 @@ def chain(a: str, b: str) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+MOST_GAP = 100_000_000
+
+
+def _gap(a: str, b: str) -> list[tuple[int, int]]:
+    """Places of the characters that an alignment of two gaps keeps."""
+    if len(a) * len(b) <= MOST_GAP:
+        return [(x, y) for x, y in alignment(a, b) if x >= 0 and y >= 0 and a[x] == b[y]]
+    n = min(len(a), len(b))
+    head = next((k for k in range(n) if a[k] != b[k]), n)
+    tail = next((k for k in range(n - head) if a[-1 - k] != b[-1 - k]), n - head)
+    return [(k, k) for k in range(head)] + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+
+
 def aligned(a: str, b: str) -> tuple[int, int, int]:
-    """Characters that an alignment of a and b keeps, in how many stretches, and the longest one: the seeds of the chain are kept, the gaps between them are aligned."""
+    """Characters that an alignment of a and b keeps, in how many stretches, and the longest one: the seeds of the chain are kept, the gaps between them are aligned.
+
+    A gap of more than MOST_GAP places times places, which only texts without common seeds over thousands of characters have, keeps what its two ends have in common."""
     pairs: list[tuple[int, int]] = []
     i = j = 0
     for p, q in [*chain(a, b), (len(a), len(b))]:
         p, q = (p, q) if p >= i and q >= j else (max(p, i), q + max(p, i) - p)  # seeds that overlap the one before, on its diagonal
         if p < i or q < j:
             continue
-        pairs += [(i + x, j + y) for x, y in alignment(a[i:p], b[j:q]) if x >= 0 and y >= 0 and a[i + x] == b[j + y]]
+        pairs += [(i + x, j + y) for x, y in _gap(a[i:p], b[j:q])]
         n = min(SEED, len(a) - p, len(b) - q)
         while n and a[p : p + n] != b[q : q + n]:
             n -= 1

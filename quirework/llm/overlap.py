@@ -1,13 +1,12 @@
 """The same or nearly the same records across splits (problem 4).
 
 Texts are compared as they print, without layout markers, case and white space. Equal texts are one class; classes of
-different sides are told apart by counting grams: k edits destroy at most GRAM * k of a text's grams and move none by more
-than k places, so that a pair of which more grams are missing is none. Texts are laid out in cells by bands of length, and
-within a cell every pair of lengths within the tolerance is counted: first without places, as products of matrices over hashed
-grams, then, for what is left, with places. Hashing can only hide that a gram is missing; so no pair within the tolerance is lost,
-however short, common or evenly edited its texts are. The edit distance of the whole texts, a banded alignment, decides on the rest.
-That search uses no seeds: at one edit in ten characters a pair may share no stretch of more than nine characters, which
-set phrases share as well.
+different sides are paired by counting pieces: of the longer text of a pair that may have k edits k + 1 + k / SPARE separate pieces are
+taken, the rarest, and k edits leave 1 + k / SPARE of these pieces unharmed and move none by more than k places. Texts are laid out in cells by bands of length; within a cell
+the pieces of one side are looked up among all places of the other, and pairs that meet in too few pieces are ruled out. What is left is told apart by
+grams with places: k edits destroy at most GRAM * k of a text's grams. Which pieces are taken matters for speed only, and hashing can only add a match; so no pair
+within the tolerance is lost, however short, common or evenly edited its texts are. The edit distance of the whole texts, a banded alignment, decides on the rest.
+One shared piece would not do for that: at one edit in ten characters a pair may share no stretch of more than nine characters, which set phrases share as well.
 
 What the two splits have in common beyond near-copies is told by winnowing fingerprints: of every WINNOW successive hashes of SEED characters the least is
 selected, so that any common stretch of SEED + WINNOW - 1 characters has a common seed. Selected seeds are joined across the splits (coverage); in a pair they are chained
@@ -25,6 +24,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain as chained
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,10 @@ from quirework.functions.edit import edits as char_edits
 from quirework.llm.looks import MARKERS, _repeated, _salted, consistent, has_print, look_table, skeleton, use
 from quirework.session import spread, staged
 
-#: Characters of a gram; ratio of the lengths in a band; texts of a side in a cell at least and at most; texts of train and of eval compared at once.
-GRAM, BAND, CELL, ROWS, COLUMNS = 3, 1.25, (4096, 65536), 1024, 4096
+#: Characters of a gram; ratio of the lengths in a band; texts of a side in a cell at least and at most; texts whose pieces are chosen together.
+GRAM, BAND, CELL, ROWS = 3, 1.25, (4096, 65536), 2048
+#: Characters of a piece at most; one segment more for so many edits; numbers that are held and pairs that are counted at once.
+PIECE, SPARE, HELD, BLOCK = 6, 4, 1 << 22, 1 << 18
 #: Buckets of places that the most edits of a pair can move a gram by.
 REACH = 4
 
@@ -78,6 +80,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+
+
 def _grams(codes: np.ndarray, k: int) -> np.ndarray:
     n = len(codes) - k + 1
     h = np.zeros(max(n, 0), np.uint64)
@@ -113,63 +119,153 @@ def _size(least: int) -> int:
     return 1 << max(6, (least - 1).bit_length())
 
 
-def _presence(grams: list[np.ndarray], size: int) -> np.ndarray:
-    """Which hashed grams each text has."""
-    out = np.zeros((len(grams), size), np.float32)
-    for row, g in enumerate(grams):
-        out[row, _slots(g, size)] = 1
-    return out
-
-
-def _placed(grams: list[np.ndarray], width: int, size: int, reach: int) -> np.ndarray:
+def _every(norms: list[str], gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The grams of all texts, their texts and their places."""
+    sizes = np.array([len(t) for t in norms])
+    row = np.repeat(np.arange(len(norms)), sizes)
+    g = _grams(_codes("".join(norms)), gram)
+    whole = np.flatnonzero(row[: len(g)] == row[gram - 1 :][: len(g)])  # not across two texts
+    row = row[whole]
+    return g[whole], row, whole - (np.cumsum(sizes) - sizes)[row]
+
+
+def _taken(length: np.ndarray | int) -> np.ndarray | int:
+    """Pieces that are taken of a text: so many more than it may have edits that some of them are left unharmed."""
+    return _most(length) + 1 + _most(length) // SPARE
+
+
+def _piece(length: np.ndarray | int) -> np.ndarray | int:
+    """Characters of a piece at most, by the length of its text."""
+    return np.minimum(PIECE, length // _taken(length))
+
+
+def _pieces(norms: list[str], piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text is cut in segments of the length of a piece at least; of each the rarest piece is looked at, and the rarest of these are taken: the pieces, their texts and places."""
+    g, row, place = _every(norms, piece)
+    lengths = np.array([len(t) for t in norms])
+    length = lengths[row]
+    n = length // piece
+    segment = ((place + 1) * n - 1) // length
+    inside = np.flatnonzero(place + piece <= (segment + 1) * length // n)
+    g, row, place, segment = g[inside], row[inside], place[inside], segment[inside]
+    slot = _slots(g, 1 << 20).astype(np.int64)
+    often = np.bincount(slot)[slot]
+    first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(segment, prepend=-1) != 0))
+    at = np.minimum.reduceat(often << 32 | np.arange(len(g)), first) & 0xFFFFFFFF
+    at = at[np.argsort(row[at] << 32 | np.minimum(often[at], 0xFFFFFFFF), kind="stable")]  # by text, the rarest first
+    sizes = np.bincount(row[at], minlength=len(norms))
+    at = at[np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < _taken(lengths)[row[at]]]
+    return g[at], row[at], place[at]
+
+
+def _keys(g: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return g >> np.uint64(24) << np.uint64(24) | np.clip(place, 0, (1 << 24) - 1).astype(np.uint64)
+
+
+def _met(norms: list[str], lengths: np.ndarray, longer: np.ndarray, shorter: np.ndarray, equal: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the pairs of a text and one that is shorter (or as long, if equal) by its most edits at most and has enough of its pieces, each moved by no more places than these.
+    Both are in order of length."""
+    longer = longer[lengths[longer] >= lengths[shorter].min()]
+    if not len(longer):
+        return
+    piece = int(_piece(lengths[longer]).min())
+    made = []
+    for x in range(0, len(longer), ROWS):
+        g, row, place = _pieces([norms[k] for k in longer[x : x + ROWS]], piece)
+        most = _most(lengths[longer[x + row]])
+        made.append((x + row, _keys(g, place - most), _keys(g, place + most)))
+    row, low, high = (np.concatenate(x) for x in zip(*made))
+    need = _taken(lengths[longer]) - _most(lengths[longer])
+    known = np.zeros(HELD, bool)
+    known[_slots(low, HELD)] = True
+    upto = np.cumsum(lengths[shorter])
+    for b in np.split(shorter, np.searchsorted(upto, np.arange(HELD, upto[-1], HELD))):
+        if not len(b):
+            continue
+        g, of, place = _every([norms[k] for k in b], piece)
+        some = np.flatnonzero(known[_slots(g, HELD)])
+        keys, of = _keys(g[some], place[some]), of[some]
+        order = np.argsort(keys)
+        there = np.zeros(HELD, bool)
+        there[_slots(keys, HELD)] = True
+        there = there[_slots(low, HELD)]
+        keys, of = keys[order], of[order]
+        begin, end = np.searchsorted(lengths[longer], [lengths[b[0]], _longer(int(lengths[b[-1]])) + 1])
+        sought = np.arange(*np.searchsorted(row, [begin, end]))
+        sought = sought[there[sought]]
+        start = np.searchsorted(keys, low[sought])
+        hit = np.flatnonzero(np.append(keys, ~np.uint64(0))[start] <= high[sought])
+        sought, start = sought[hit], start[hit]
+        n = np.searchsorted(keys, high[sought], "right") - start
+        step = max(1, BLOCK // len(b))
+        for x in range(begin, end, step):
+            a = longer[x : min(x + step, end)]
+            first, last = np.searchsorted(row[sought], [x, x + len(a)])
+            sums = np.cumsum(n[first:last])
+            cuts = [first, *(first + np.searchsorted(sums, np.arange(HELD, sums[-1], HELD))), last] if len(sums) else []
+            counts = None
+            for y, z in zip(cuts, cuts[1:]):
+                at = np.arange(n[y:z].sum()) + np.repeat(start[y:z] - np.cumsum(n[y:z]) + n[y:z], n[y:z])
+                more = np.bincount(np.repeat((row[sought[y:z]] - x) * len(b), n[y:z]) + of[at], minlength=len(a) * len(b))
+                counts = more if counts is None else counts + more
+            if counts is None:
+                continue
+            i, j = np.divmod(np.flatnonzero(counts.reshape(len(a), -1) >= need[x : x + len(a), None]), len(b))
+            i, j = a[i], b[j]
+            apart = lengths[i] - lengths[j]
+            kept = (apart >= 1 - equal) & (apart <= _most(lengths[i]))
+            yield i[kept], j[kept]
+
+
+def _placed(norms: list[str], size: int, width: int, reach: int) -> np.ndarray:
     """Packed bits of the hashed grams of each text with their buckets of places; with reach 0 the bucket itself, else all up to reach away."""
-    out = np.zeros((len(grams), size // 64), np.uint64)
-    steps = (np.arange(2 * reach + 1) if reach else np.array([REACH])).astype(np.uint64)[:, None]
-    for row, g in enumerate(grams):
-        bits = np.zeros(size, bool)
-        places = (np.arange(len(g)) // width).astype(np.uint64)
-        bits[_slots(_mixed(g * np.uint64(0x9E3779B97F4A7C15) + (places + steps)), size)] = True
-        out[row] = np.packbits(bits).view(np.uint64)
+    out = np.zeros((len(norms), size // 64), np.uint64)
+    step = max(1, HELD // size)
+    for x in range(0, len(norms), step):
+        part = norms[x : x + step]
+        g, row, place = _every(part, GRAM)
+        bits = np.zeros(len(part) * size, bool)
+        for k in range(-reach, reach + 1):
+            bits[row * size + _slots(_mixed(g * np.uint64(0x9E3779B97F4A7C15) + (place // width + REACH + k).astype(np.uint64)), size).astype(np.int64)] = True
+        out[x : x + step] = np.packbits(bits).view(np.uint64).reshape(len(part), -1)
     return out
 
 
-def _possible(t: list[np.ndarray], tl: np.ndarray, e: list[np.ndarray], el: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of t and of e, given by their grams and lengths, of the pairs that may be within the tolerance."""
-    most = _most(np.maximum(tl[:, None], el[None]))
-    size = _size(2 * int(tl[-1]))
-    a, b = _presence(t, size), _presence(e, size)
-    both = a @ b.T
-    ok = (np.abs(tl[:, None] - el[None]) <= most) & (both >= a.sum(1)[:, None] - GRAM * most) & (both >= b.sum(1)[None] - GRAM * most)
-    i, j = np.nonzero(ok)
-    if not len(i):
-        return i, j
-    most = most[i, j]
-    width, size = -(-int(most.max()) // REACH) or 1, min(1 << 17, _size(32 * int(tl[-1])))
+def _possible(norms: list[str], i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which of the pairs of rows i and j don't miss too many grams with places."""
+    width, size = -(-int(most.max()) // REACH) or 1, _size_for(int(most.max()))
     ui, ri = np.unique(i, return_inverse=True)
     uj, rj = np.unique(j, return_inverse=True)
-    a, b = _placed([t[x] for x in ui], width, size, 0), ~_placed([e[x] for x in uj], width, size, REACH)
+    a, b = _placed([norms[x] for x in ui], size, width, 0), ~_placed([norms[x] for x in uj], size, width, REACH)
     step = max(1, (1 << 20) // (size // 64))
     missing = np.concatenate([np.bitwise_count(a[ri[x : x + step]] & b[rj[x : x + step]]).sum(1, dtype=np.int64) for x in range(0, len(i), step)])
-    kept = missing <= GRAM * most
-    return i[kept], j[kept]
+    return missing <= GRAM * most
+
+
+def _size_for(most: int) -> int:
+    return min(1 << 17, _size(32 * (10 * most + 9)))
 
 
 def _cell_pairs(cell: pa.Table) -> pa.Table:
     """e, t of the pairs of a cell (cls, norm, train) that may be within the tolerance."""
-    norms, train = cell["norm"].to_pylist(), cell["train"].to_numpy()
-    lengths, cls = np.array([len(x) for x in norms]), cell["cls"].to_numpy()
+    norms, train, cls = cell["norm"].to_pylist(), cell["train"].to_numpy(), cell["cls"].to_numpy()
+    lengths = np.array([len(x) for x in norms])
     order = np.argsort(lengths, kind="stable")
     ts, es = order[train[order]], order[~train[order]]
     found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    grams_of = lambda rows: [_grams(np.frombuffer(norms[x].encode("utf-32-le", "replace"), np.uint32).astype(np.uint64), GRAM) for x in rows]
-    for k in range(0, len(ts), ROWS):
-        t = ts[k : k + ROWS]
-        tl, tg = lengths[t], grams_of(t)
-        first, last = np.searchsorted(lengths[es], [_shorter(int(tl[0])), _longer(int(tl[-1])) + 1])
-        for m in range(first, last, COLUMNS):
-            e = es[m : min(m + COLUMNS, last)]
-            i, j = _possible(tg, tl, grams_of(e), lengths[e])
-            found.append((cls[e[j]], cls[t[i]]))
+    if len(ts) and len(es):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        at_once = (HELD << 7) // _size_for(_most(int(lengths.max())))  # by the room that their bits take
+        pairs = chained(_met(norms, lengths, ts, es, True), ((t, e) for e, t in _met(norms, lengths, es, ts, False)), [None])
+        for pair in pairs:
+            held += [pair] if pair else []
+            if held and (pair is None or sum(len(x[0]) for x in held) >= at_once):
+                t, e = (np.concatenate(x) for x in zip(*held))
+                held.clear()
+                for k in range(0, len(t), at_once):
+                    i, j = t[k : k + at_once], e[k : k + at_once]
+                    kept = _possible(norms, i, j, _most(np.maximum(lengths[i], lengths[j])))
+                    found.append((cls[j[kept]], cls[i[kept]]))
     e, t = (np.concatenate(x) for x in zip(*found))
     return pa.table({"e": pa.array(e[e != t], pa.int64()), "t": pa.array(t[e != t], pa.int64())})
 
@@ -282,7 +378,7 @@ def cross_split_classes(records: DataFrame) -> DataFrame:
 
 def seeds_of(norm: str) -> list[tuple[int, int]]:
     """(hash, place) of the selected seeds of a text: of equal hashes in a window the last one; a text shorter than a window has one seed, if it is as long as that."""
-    g = _grams(np.frombuffer(norm.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64), SEED)
+    g = _grams(_codes(norm), SEED)
     if not len(g):
         return []
     w = min(WINNOW, len(g))

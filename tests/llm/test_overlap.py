@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from quirework.functions.edit import edits
 from quirework.llm import overlap as O
 from quirework.llm.overlap import compared, cross_split_pairs
@@ -92,3 +94,28 @@ def test_classes_coverage_and_spans(spark):
     pairs = {(r.edits, r.kept, r.stretches) for r in O.spans(df).collect()}
     assert pairs == {(0, 200, 1), (1, 199, 2), (0, 3, 1)}
     assert O.coverage(df.limit(0)).count() == O.spans(df.limit(0)).count() == O.cross_split_classes(df.limit(0)).count() == 0
+
+
+def test_few_pairs_of_a_cell_are_looked_at(spark):
+    """Texts of one form and one length: of all pairs few meet in enough pieces, and none within the tolerance is lost."""
+    rng = random.Random(6)
+    phrases = ["".join(rng.choice("abcdefgh") for _ in range(25)) for _ in range(12)]
+    made = lambda: "".join(rng.choice(phrases) + "".join(rng.choice("abcdefgh") for _ in range(15)) for _ in range(6))
+    train = [made() for _ in range(400)]
+    evals = [made() for _ in range(100)] + [f(rng, t, 23) for t in train[:40] for f in (spread, mixed)]
+    norms = train + evals
+    lengths = np.array([len(t) for t in norms])
+    order = np.argsort(lengths, kind="stable")
+    ts, es = order[order < len(train)], order[order >= len(train)]
+    met = [(int(t), int(e)) for i, j in O._met(norms, lengths, ts, es, True) for t, e in zip(i, j)]
+    met += [(int(t), int(e)) for i, j in O._met(norms, lengths, es, ts, False) for e, t in zip(i, j)]
+    near = {(k, len(train) + 100 + 2 * k + f) for k in range(40) for f in (0, 1)}
+    assert near <= set(met) and len(met) == len(set(met)) <= 0.02 * len(ts) * len(es)
+
+
+def test_every_length_of_short_texts(spark):
+    rng = random.Random(7)
+    train = ["".join(rng.choice("abcd") for _ in range(n)) for n in range(9, 75) for _ in range(4)]
+    evals = [f(rng, t, len(t) // 10) for t in train for f in (spread, mixed)]
+    found, true = found_and_true(spark, train, evals)
+    assert found == true and len(true) >= len(train)

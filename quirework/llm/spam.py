@@ -1,7 +1,7 @@
 """Pages of repeated keywords, links or product tags instead of sentences (problem 9).
 
-Two kinds of evidence are joined. Replication: the texts of all pages are exploded into phrases (word shingles, from the head of every
-list item on), and of each phrase the distinct hosts that use it are counted; a phrase is stitched in if it stands on several hosts or again and again in
+Two kinds of evidence are joined. Replication: the texts of all pages are exploded into phrases (every two successive words of
+a list item), and of each phrase the distinct hosts that use it are counted; a phrase is stitched in if it stands on several hosts or again and again in
 the page. List density: what share of a page is links, tagged, counted or priced lists and fragments rather than sentences. A page is spam if more than
 half of it is such lists and at least half of its items (a quarter where links, tags and prices alone make up more than half) are stitched in, or their words repeat themselves.
 
@@ -161,8 +161,8 @@ def parts(text: str) -> dict:
     return out
 
 
-#: Up to five words that single characters part (spaces, hyphens, quotes, not the marks of lists): a list item, or a piece of a longer one. Addresses and tags of links part items, too.
-TILE = r"[\p{L}\p{N}]+(?:[^\p{L}\p{N}\n\r,;|/·•~#+=>›.!?()][\p{L}\p{N}]+){0,4}"
+#: Words that single characters part (spaces, hyphens, quotes, not the marks of lists): a list item. Addresses and tags of links part items, too. Of a longer one so many words count as one.
+ITEM, WORDS = r"[\p{L}\p{N}]+(?:[^\p{L}\p{N}\n\r,;|/·•~#+=>›.!?()][\p{L}\p{N}]+)*+", 5
 ADDRESSES = r"(?i)https?://[^\s/<>\"\])]+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,24}\b(?=[/\s<\])\"]|$)|<a\s[^>]*>|</a>|\[/?url[^\]]*\]"
 #: Prices are one phrase, whatever they come to: the slot that a product list fills again and again.
 PRICES = r"(?U)\b\d+[.,]\d\d ?(?:€|\$|£|EUR|USD|frs|fr)(?!\w)"
@@ -198,17 +198,20 @@ _ADDRESS = re.compile(ADDRESSES.replace("(?i)", ""), re.I)
 
 
 def phrases(pages: DataFrame) -> DataFrame:
-    """The rows of pages, without text, once for every list item: phrase, a hash of its first two words, and size, its characters. Longer items are cut every five words,
-    so that the whole text is covered. All in the JVM; the costly expressions are kept from texts that cannot have what they look for."""
+    """The rows of pages, without text, once for every two successive words of an item, at whatever place they stand, and for every item of one word: item, its number, at, the place of the
+    first word in it, phrase, a hash of the words, size and next, the characters of each. All in the JVM; the costly expressions are kept from texts that cannot have what they look for."""
     text = F.col("text")
     links = F.contains(text, F.lit("://")) | F.contains(text, F.lit("[")) | F.contains(text, F.lit("<")) | text.rlike(r"\.[A-Za-z]")
     plain = F.when(links, F.regexp_replace(text, ADDRESSES, "\n")).otherwise(text)
     plain = F.when(text.rlike(r"\d[.,]\d\d"), F.regexp_replace(plain, PRICES, "\npricestated\n")).otherwise(plain)
     apart = F.when(F.contains(text, F.lit("#")), F.regexp_replace(plain, r"(?<=\p{Ll})(?=\p{Lu})", "\n")).otherwise(plain)  # glued tags
     rest = [c for c in pages.columns if c != "text"]
-    x = pages.select(*rest, F.explode(F.regexp_extract_all(F.lower(apart), F.lit(TILE), F.lit(0))).alias("tile"))
-    head = F.replace(F.substring_index("tile", " ", 2), F.lit("-"), F.lit(" "))  # hyphens are spaces, but their words are not told apart
-    return x.select(*rest, F.xxhash64(head).alias("phrase"), (F.char_length("tile") + 1).cast("bigint").alias("size"))
+    item = F.posexplode(F.regexp_extract_all(F.lower(apart), F.lit(ITEM), F.lit(0))).alias("item", "words")
+    x = pages.select(*rest, item).withColumn("words", F.split("words", " "))  # hyphens are spaces, but their words are not told apart
+    x = x.select(*rest, "item", "words", F.explode(F.sequence(F.lit(1), F.greatest(F.size("words") - 1, F.lit(1)))).alias("at"))
+    pair = F.replace(F.array_join(F.slice("words", F.col("at"), F.lit(2)), " "), F.lit("-"), F.lit(" "))
+    size, after = (F.char_length(F.get("words", F.col("at") - k)) + 1 for k in (1, 0))
+    return x.select(*rest, "item", "at", F.xxhash64(pair).alias("phrase"), size.alias("size"), after.alias("next"))
 
 
 def _hosted(docs: DataFrame) -> DataFrame:
@@ -217,19 +220,22 @@ def _hosted(docs: DataFrame) -> DataFrame:
 
 
 def scored(docs: DataFrame, hosts_needed: int = HOSTS) -> DataFrame:
-    """Of each dense page: doc_id, density (share of links, lists and fragments), replicated (share of the items' characters whose phrases other hosts have
+    """Of each dense page: doc_id, density (share of links, lists and fragments), replicated (share of the items' characters in words of phrases that other hosts have
     or the page repeats), repeated (share of its words that stood there before), items, links, and whether it is spam."""
     pages = _hosted(docs)
     dense = staged(dense_pages(pages), "dense").dropDuplicates(["doc_id"])
-    each = phrases(dense.select("doc_id", "text")).groupBy("doc_id", "phrase").agg(F.sum("size").alias("chars"), F.count("*").alias("own"))
-    each = staged(each, "phrases")
-    wanted = staged(each.select("phrase").distinct(), "wanted")  # Spark broadcasts it only if its files are below the session's threshold
+    found = staged(phrases(dense.select("doc_id", "text")), "phrases")
+    each = found.groupBy("doc_id", "phrase").agg(F.count("*").alias("own"))
+    wanted = staged(found.select("phrase").distinct(), "wanted")  # Spark broadcasts it only if its files are below the session's threshold
     used = phrases(pages.select(F.xxhash64("host").alias("host"), "text")).select("host", "phrase")
     counts = used.join(wanted, "phrase", "left_semi").distinct().groupBy("phrase").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= hosts_needed)
     salted = counts.select("phrase", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     met = each.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted.withColumn("found", F.lit(True)), ["phrase", "salt"], "left")
-    stitched = F.sum(F.when(F.col("found") | (F.col("own") >= OWN), F.col("chars")).otherwise(0)) / F.sum("chars")
-    share = met.groupBy("doc_id").agg(stitched.alias("replicated"), F.sum("own").alias("items"))
+    stitched = met.where(F.col("found") | (F.col("own") >= OWN)).select("doc_id", "phrase", F.lit(True).alias("in"))
+    both = F.array(*(F.struct((F.col("at") + k).alias("at"), F.col(size).alias("size")) for k, size in enumerate(("size", "next"))))
+    words = found.join(stitched, ["doc_id", "phrase"], "left").select("doc_id", "item", "in", F.inline(both)).where("size is not null")
+    words = words.groupBy("doc_id", "item", "at").agg(F.max("size").alias("size"), F.max("in").alias("in"))  # a word is stitched in if a phrase is that it stands in
+    share = words.groupBy("doc_id").agg((F.sum(F.when(F.col("in"), F.col("size")).otherwise(0)) / F.sum("size")).alias("replicated"), F.count_if(F.col("at") % WORDS == 1).alias("items"))
     x = dense.drop("text").join(share, "doc_id", "left").na.fill({"replicated": 0.0, "items": 0})
     density = (F.col("link") + F.col("listed") + F.col("loose")) / F.col("total")
     sure = (F.col("link") + F.col("listed")) / F.col("total") > SHARE  # links, tags and prices tell a list more surely than fragments do

@@ -216,6 +216,16 @@ def test_hosts_decide(spark):
 
 
 @pytest.mark.skipif(not os.path.exists(FOLDER), reason="no test tables")
+def test_phrases_at_any_place(spark):
+    """A phrase that other hosts have counts wherever it stands in an item."""
+    names = "wax seals, black ink, old letters, rare stamps, goose quills, birth records, census search, paper sheets".split(", ")
+    prose = [(10 + k, ". ".join(f"The clerk of the parish kept it, {n}, and the deed in a box" for n in names) + ".", "s", f"http://h{k}.example/b") for k in range(3)]
+    docs = [(1, ", ".join(f"a{k} b{k} c{k} {n}" for k, n in enumerate(names)), "s", "http://one.example/a")]
+    assert [r.doc_id for r in S.stuffed_pages(spark.createDataFrame(docs + prose, "doc_id bigint, text string, source string, url string")).collect()] == [1]
+    rows = S.phrases(spark.createDataFrame([(1, "one two three four five six seven, eight")], "doc_id bigint, text string")).collect()
+    assert [r.at for r in rows] == [1, 2, 3, 4, 5, 6, 1] and len({r.phrase for r in rows}) == 7
+
+
 @pytest.mark.parametrize("name", ["p2_found", "p4_report", "p5_found", "p6_found", "p9_found"])
 def test_queries(spark, name):
     from quirework.llm import registry

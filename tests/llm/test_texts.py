@@ -226,6 +226,34 @@ def test_phrases_at_any_place(spark):
     assert [r.at for r in rows] == [1, 2, 3, 4, 5, 6, 1] and len({r.phrase for r in rows}) == 7
 
 
+def test_only_open_phrases_are_counted(spark, monkeypatch):
+    """Phrases that the dense pages alone show on enough hosts are not counted over all pages; of the rest nothing is lost on the way, and what nobody asked for stays out of the shuffle."""
+    asked = []
+    passed = S.passed
+    monkeypatch.setattr(S, "passed", lambda used, wanted: asked.append(wanted.count()) or passed(used, wanted))
+    shared = "wax seals, black ink, old letters, rare stamps, goose quills, birth records, census search, paper sheets"
+    lists = [(k, f"{shared}, own{k} thing{k}", "s", f"http://h{k}.example/b") for k in range(4)]
+    prose = (9, "The clerk of the parish kept the deed in a box, and the widow had the ledger of the year before.", "s", "http://h9.example/b")
+    got = S.scored(spark.createDataFrame([*lists, prose], "doc_id bigint, text string, source string, url string")).collect()
+    assert asked == [4] and sorted(r.doc_id for r in got if r.spam) == [0, 1, 2, 3]
+    assert {round(r.replicated, 6) for r in got} == {round(1 - len("own1 thing1 ") / len(f"{shared}, own1 thing1 ".replace(",", "")), 6)}
+    used = spark.range(200000).select(F.xxhash64("id").alias("phrase"))
+    kept = passed(used, used.sparkSession.range(5000).select(F.xxhash64("id").alias("phrase")))
+    assert 5000 <= kept.count() < 30000 and kept.join(spark.range(5000).select(F.xxhash64("id").alias("phrase")), "phrase").count() == 5000
+
+
+@pytest.mark.parametrize("text", ["a. b;c! \n d?e", "é.\n\n f. g", "x_y a. B_c d.", ".", " . a"])
+def test_narrow_stops(text):
+    """Texts without wide stops are cut where the general expressions cut them."""
+    assert S._NARROW_STOP.split(text) == S._STOP.split(text)
+    assert "_" in text or S._PLAIN_WORD.findall(text) == S._WORD.findall(text)
+
+
+@pytest.mark.parametrize("text, link, price", [("see HTTP://a b", 1, 0), ("https:", 1, 0), ("WWW.a", 1, 0), ("a.com b", 1, 0), ("a.comb b", 0, 0), ("a.comb\nb", 1, 0), ("x.ab/c", 1, 0), ("[a](b", 1, 0), ("[URL", 1, 0), ("<a b", 1, 0), ("a. b: c [d] <e>", 0, 0), ("3,50 €", 0, 1), ("a,50 €", 0, 0), ("3.50EUR", 0, 1), (",50 €", 0, 0)])
+def test_anchors(text, link, price):
+    assert (S._ANCHOR.search(text) is not None, S._CURRENCY.search(text) is not None) == (bool(link), bool(price))
+
+
 @pytest.mark.parametrize("name", ["p2_found", "p4_report", "p5_found", "p6_found", "p9_found"])
 def test_queries(spark, name):
     from quirework.llm import registry
